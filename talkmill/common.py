@@ -86,3 +86,38 @@ def ship(spark: SparkSession) -> None:
     shutil.copytree(root, f"{held}/tree/{root.name}", ignore=shutil.ignore_patterns("__pycache__", "*.pyc"))
     sc.addPyFile(shutil.make_archive(f"{held}/{root.name}", "zip", f"{held}/tree"))
     _SHIPPED.add(sc.applicationId)
+
+
+#: A join key with more rows than this is joined apart, by broadcast of its few facts (at most rows / HOT_ROWS of them).
+HOT_ROWS = 200_000
+
+
+def join_hot(big: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of `big` with one fact per key, where `facts` also has the number of rows of `big` with that key.
+
+    Keys over HOT_ROWS are so few that their facts are broadcast; the others are joined by shuffle.
+    """
+    hot = facts.filter(F.col(count) > HOT_ROWS).drop(count)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.filter(F.col(count) <= HOT_ROWS).drop(count), key)
+    return rest.unionByName(big.join(F.broadcast(hot), key))
+
+
+def running(df: DataFrame, group: str, order: list[str], weight: Column, name: str) -> DataFrame:
+    """`df` with the sum of `weight` over the rows of the group before each row, without bringing a group into one task.
+
+    Rows are range-partitioned by group and order; sums within a partition are added to those of the group in earlier
+    partitions, of which there are no more than partitions. `order` should be unique within a group.
+    """
+    from pyspark.sql import Window as W
+
+    laid = written(df.withColumn("_w", weight).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
+    sums = laid.groupBy(group, "_part").agg(F.sum("_w").alias("_n"))
+    offsets = sums.select(group, "_part", F.coalesce(F.sum("_n").over(past(W.partitionBy(group).orderBy("_part"))), F.lit(0)).alias("_before"))
+    local = laid.withColumn("_local", F.coalesce(F.sum("_w").over(past(W.partitionBy(group, "_part").orderBy(*order))), F.lit(0)))
+    return local.join(offsets, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local", "_w")
+
+
+def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
+    """`df` with the place of each row within its group, from 0."""
+    return running(df, group, order, F.lit(1), name)
