@@ -110,12 +110,12 @@ def running(df: DataFrame, group: str, order: list[str], weight: Column, name: s
     """
     from pyspark.sql import Window as W
 
-    laid = written(df.withColumn("_w", weight).repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    laid = written(df.withColumn("_run_w", weight).repartitionByRange(group, *order).withColumn("_run_part", F.spark_partition_id()))
     past = lambda w: w.rowsBetween(W.unboundedPreceding, -1)
-    sums = laid.groupBy(group, "_part").agg(F.sum("_w").alias("_n"))
-    offsets = sums.select(group, "_part", F.coalesce(F.sum("_n").over(past(W.partitionBy(group).orderBy("_part"))), F.lit(0)).alias("_before"))
-    local = laid.withColumn("_local", F.coalesce(F.sum("_w").over(past(W.partitionBy(group, "_part").orderBy(*order))), F.lit(0)))
-    return local.join(offsets, [group, "_part"]).withColumn(name, F.col("_before") + F.col("_local")).drop("_part", "_before", "_local", "_w")
+    sums = laid.groupBy(group, "_run_part").agg(F.sum("_run_w").alias("_run_n"))
+    offsets = sums.select(group, "_run_part", F.coalesce(F.sum("_run_n").over(past(W.partitionBy(group).orderBy("_run_part"))), F.lit(0)).alias("_run_before"))
+    local = laid.withColumn("_run_local", F.coalesce(F.sum("_run_w").over(past(W.partitionBy(group, "_run_part").orderBy(*order))), F.lit(0)))
+    return local.join(offsets, [group, "_run_part"]).withColumn(name, F.col("_run_before") + F.col("_run_local")).drop("_run_part", "_run_before", "_run_local", "_run_w")
 
 
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # fixed values: magnitude words and what they multiply by; markers of approximation; signs dropped at either end
-MAGNITUDES = {"k": 1e3, "thousand": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "l": 1e5, "million": 1e6, "m": 1e6, "crore": 1e7, "crores": 1e7, "cr": 1e7}
-APPROXIMATE = {"around", "about", "approx", "approximately", "roughly", "nearly", "~", "circa"}
-OUTER = " \t\r\n.,;:!?-–—\"'"
+MAGNITUDES = {"thousand": 1_000, "k": 1_000, "lakh": 100_000, "lakhs": 100_000, "lac": 100_000, "lacs": 100_000, "l": 100_000, "crore": 10_000_000, "crores": 10_000_000, "cr": 10_000_000}
+APPROXIMATE = ("~", "around", "approx", "approximately", "about", "roughly", "circa", "ca", "ish")
+OUTER = " \t\r\n.,;:!?-–—"
 _TOKEN = re.compile(r"\d+(?:\.\d+)?|[^\W\d_]+|~")
 
 
@@ -54,3 +58,19 @@ def agree(a: str, b: str, how: str = "strict") -> bool:
     if how not in ("strict", "number_aware"):
         raise ValueError(f"no such comparison: {how}")
     return strict(a) == strict(b) if how == "strict" else value_key(a) == value_key(b)
+
+
+def _column(f):
+    def run(value: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(v) for v in value.to_pylist()], pa.string())
+
+    run.__annotations__ = {"value": pa.Array, "return": pa.Array}
+    return run
+
+
+def strict_key(c: Column) -> Column:
+    return F.arrow_udf(_column(strict), "string")(c)
+
+
+def number_key(c: Column) -> Column:
+    return F.arrow_udf(_column(value_key), "string")(c)

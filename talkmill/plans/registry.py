@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talkmill.plans import general
+from talkmill.plans import agreement, general, items, names, privacy, sampling, scoring, turns
 
-MODULES = [general]
+MODULES = [general, items, turns, names, agreement, scoring, sampling, privacy]
 
 
 def queries() -> dict:
@@ -12,4 +12,4 @@ def queries() -> dict:
 
 
 def oracles() -> dict:
-    return {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+    return {name: sql for m in MODULES for name, sql in m.ORACLES.items() if sql}
