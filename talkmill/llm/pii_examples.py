@@ -160,7 +160,9 @@ class Maker:
         r, n, s, p = self.r, self.r.randrange(1, 250), self.street(), self.place()
         pin = "0" + self.num(5)
         out = r.choice([f"House #{n}, {s}", f"Flat {n}, {self.project()} Residency, {r.randrange(200)} {s}, {p}", f"plot no {n}, {s}, {p} {pin}", f"{p}, {s}, house number {n}", f"{n}, {s}, {p} - {pin}", f"{n} {s}, apt {r.randrange(60)}", f"{n} {s}", f"{n} {s}, {p}", f"House #{n}, {s}\n{p}", f"H.No {r.randrange(20)}-{r.randrange(10)}-{n}, {s}, {p}", f"C/o guard room, {n}-{r.choice('AB')} {s.upper()}, {p.upper()}", f"door no. {n}/{r.choice('ABC')}, {s}, opp water tank, {p}", f"{n}/{r.choice('ABC')}, {s}, opp water tank, {p}", f"house {n}, {s}, {p} {pin}", f"apartment {n}, {s}"])
-        return out.lower() if r.random() < 0.22 else out
+        if r.random() < 0.1:  # the form that is hardest without capitals
+            out = f"{n} {s}, {p}".lower()
+        return out.lower() if r.random() < 0.25 else out
 
     def fill(self, slot: str) -> str:
         r = self.r
@@ -190,7 +192,7 @@ def examples(n: int, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int, in
     slots = re.compile("|".join(sorted({*KIND, "REF"}, key=len, reverse=True)) + "|~(?:num|area|price|loc|projword|proj|name|firmword|bank|word|street|month|day|year|kin|deva|telu|home|place)")
     make.listed.update(w for w in _WORDS if r.random() < 0.7)
     out = []
-    with_ += [x for x in with_ if "PHONE" in x] + ["office line PHONE is always busy", "mera number PHONE hai, shaam ko call karna"] + ["PHONE"] * 6 + ["IDNO attached", "KYC done, IDNO", "IDNO"] * 2 + ["ADDR", "current address is ADDR", "courier it to ADDR", "ADDR on the way"]
+    with_ += [x for x in with_ if "PHONE" in x] + ["office line PHONE is always busy", "mera number PHONE hai, shaam ko call karna"] + ["PHONE"] * 6 + ["PERSON will come for the site visit", "PERSON here, any update?", "Thanks PERSON", "please speak to PERSON about it"] * 2 + ["IDNO attached", "KYC done, IDNO", "IDNO"] * 2 + ["ADDR", "current address is ADDR", "courier it to ADDR", "we live at ADDR", "pick me up from ADDR on the way"] + ["ADDR, PHONE", "ADDR. PHONE", "ADDR and whatsapp: PHONE"]
     without += [line for lines in SEED.values() for line in lines]
     for k in range(n):
         parts = [with_[k % len(with_)] if k % 2 else without[(k // 2) % len(without)]]
