@@ -57,6 +57,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over at least as many partitions as there are cores, for Python work on tables of one or a few small files.
+
+    Scans of larger tables have more partitions than cores and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def norm_id(c: Column | str) -> Column:
     """Conversation ids that differ only in case or outer blanks are one: trimmed, upper case; blank is null."""
     c = F.col(c) if isinstance(c, str) else c

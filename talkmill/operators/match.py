@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from talkmill.functions.text import NAME_FORMS, name_tokens
 
+QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
+
 
 def exact_flags(queries: DataFrame, reference: DataFrame, form: str, *, name: str = "name") -> DataFrame:
     """`queries` with `key` (its name in this form) and `matched`: whether a reference name has the same form.
@@ -55,22 +57,46 @@ def shared_frequency(queries: DataFrame, reference: DataFrame, form: str, *, nam
     return q.join(r, "key").orderBy(F.desc("instances"), "key")
 
 
+def _token_blocks(names: DataFrame, blocks: int, salt: int) -> DataFrame:
+    return names.withColumn("b", F.pmod(F.xxhash64("n", F.lit(salt)), F.lit(blocks)))
+
+
 def nearest_by_tokens(queries: DataFrame, reference: DataFrame, *, name: str = "name") -> DataFrame:
     """(name, nearest, score): the reference name of highest token Jaccard, the first in order among ties; 0 and the first name without a shared token.
 
-    Work is over distinct names. Pairs arise from shared tokens only: the tokens of each name are sorted by how rare they are
-    in the reference, and a candidate is met at every shared token; its overlap is the number of meetings. The empty token
-    set meets nothing.
+    Work is over distinct names in blocks, as in `nearest_by_cosine`. A pair of blocks makes a list of places for every token
+    of its candidates; the overlaps of a query with all of them are the counts over the lists of its tokens. Each query keeps
+    its best of the block, so no pair of names is emitted.
     """
-    q = queries.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("t", F.array_distinct(name_tokens(name)))
-    r = reference.select(F.col(name).alias("nearest")).filter("nearest is not null").distinct().withColumn("t", F.array_distinct(name_tokens("nearest")))
-    qt = q.select(name, F.size("t").alias("nq"), F.explode("t").alias("token"))
-    rt = r.select("nearest", F.size("t").alias("nr"), F.explode("t").alias("token"))
-    met = qt.join(rt, "token").groupBy(name, "nearest").agg(F.count("*").alias("both"), F.max("nq").alias("nq"), F.max("nr").alias("nr"))
-    scored = met.withColumn("score", F.col("both") / (F.col("nq") + F.col("nr") - F.col("both")))
-    best = scored.groupBy(name).agg(F.min(F.struct((-F.col("score")).alias("s"), "nearest")).alias("b"))
-    first = reference.agg(F.min(name).alias("_first"))
-    return q.select(name).join(best, name, "left").crossJoin(F.broadcast(first)).select(name, F.coalesce("b.nearest", "_first").alias("nearest"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
+    q = queries.select(F.col(name).alias("n")).filter("n is not null").distinct().withColumn("t", F.array_distinct(name_tokens("n")))
+    r = reference.select(F.col(name).alias("n")).filter("n is not null").distinct().withColumn("t", F.array_distinct(name_tokens("n")))
+    nq, nr = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-r.count() // CANDIDATE_BLOCK))
+    left = _token_blocks(q, nq, 1).select(F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("cb"), "n", "t")
+    right = _token_blocks(r, nr, 2).select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("b").alias("cb"), "n", "t")
+
+    def best(a: pa.Table, b: pa.Table) -> pa.Table:
+        names, near, score = [], [], []
+        if b.num_rows:
+            b = b.combine_chunks().sort_by("n")
+            sizes = np.diff(np.asarray(b["t"].chunk(0).offsets))
+            tokens, rows = b["t"].chunk(0).flatten().to_pylist(), np.repeat(np.arange(b.num_rows), sizes)
+            lists: dict[str, list[int]] = {}
+            for t, k in zip(tokens, rows.tolist()):
+                lists.setdefault(t, []).append(k)
+            held = {t: np.array(x) for t, x in lists.items()}
+            sorted_names = b["n"].to_pylist()
+            for n, ts in zip(a["n"].to_pylist(), a["t"].to_pylist()):
+                met = [held[t] for t in ts if t in held]
+                both = np.bincount(np.concatenate(met), minlength=len(sizes)) if met else np.zeros(len(sizes), np.int64)
+                union = sizes + len(ts) - both
+                s = np.divide(both, union, out=np.zeros(len(sizes)), where=union > 0)
+                k = int(s.argmax())
+                names.append(n), near.append(sorted_names[k]), score.append(float(s[k]))
+        return pa.table({"n": pa.array(names, pa.string()), "nearest": pa.array(near, pa.string()), "score": pa.array(score, pa.float64())})
+
+    found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(best, "n string, nearest string, score double")
+    top = found.groupBy("n").agg(F.min(F.struct((-F.col("score")).alias("s"), "nearest")).alias("b"))
+    return q.select("n").join(top, "n", "left").select(F.col("n").alias(name), F.col("b.nearest").alias("nearest"), F.coalesce(-F.col("b.s"), F.lit(0.0)).alias("score"))
 
 
 def unit(v: Column) -> Column:
@@ -87,9 +113,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), out).otherwise(F.raise_error(F.lit("vectors of unequal size")).cast("double"))
 
 
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 4096
-
-
 def _matrix(a: pa.Array) -> np.ndarray:
     flat = np.asarray(a.flatten(), np.float64)
     m = flat.reshape(len(a), -1) if len(a) else np.zeros((0, 0))

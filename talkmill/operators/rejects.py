@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import bounded_broadcast, table, trimmed
+from talkmill.common import bounded_broadcast, spread, table, trimmed
 
 FIELDS = ("item_id", "conversation_id", "turn_index", "user_message", "action", "reply", "labeler")
 DEFAULT_SEP = ","
@@ -116,7 +116,7 @@ def load_records(lines: DataFrame, source_files: DataFrame, action_catalog: Data
     """One row per record: key, source_file, the seven typed fields, and `reason` (null for rows that load)."""
     seps = source_files.filter("source_file is not null").groupBy(F.col("source_file").alias("_source")).agg(F.max(F.when(F.length("field_sep") == 1, F.col("field_sep"))).alias("_sep"))
     known = action_catalog.select(F.lower(trimmed("action_name")).alias("_known")).filter("_known is not null").distinct()
-    rows = lines.select(F.col(key).alias("_key"), F.col(line).alias("_line"), F.col(source).alias("_source")).join(bounded_broadcast(seps), "_source", "left")
+    rows = spread(lines.select(F.col(key).alias("_key"), F.col(line).alias("_line"), F.col(source).alias("_source"))).join(bounded_broadcast(seps), "_source", "left")
     rows = rows.withColumn("_x", indexed(F.col("_line"), F.coalesce("_sep", F.lit(DEFAULT_SEP)))).select("_key", "_source", "_x")
     f = lambda k: F.col("_x.fields")[k]
     rows = rows.withColumn("_full", F.size("_x.fields") == len(FIELDS))

@@ -34,7 +34,9 @@ def quota_sample(candidates: DataFrame, n: int, seed: str | int, *, key: str = "
     Wholesale strata are taken first and whole; then the others in name order, each up to its share of n of what is not yet
     chosen; the rest at random. A row chosen for one stratum is not chosen again. Targets round half to even.
     """
-    pool = candidates.select(key, strata).distinct()
+    from talkmill.common import written
+
+    pool = written(candidates.select(key, strata).distinct())  # every stratum reads it
     chosen = None
     left = n
     order = [s for s in sorted(quotas) if s in wholesale] + [s for s in sorted(quotas) if s not in wholesale]
@@ -45,7 +47,7 @@ def quota_sample(candidates: DataFrame, n: int, seed: str | int, *, key: str = "
         target = round(quotas[s] * n)
         part = free.select(key) if s in wholesale else sample(free.select(key), min(target, max(left, 0)), f"{seed}:{s}", key)
         left -= target
-        part = part.withColumn("stratum", F.lit(s))
+        part = written(part.withColumn("stratum", F.lit(s)))
         chosen = part if chosen is None else chosen.unionByName(part)
     rest = pool.join(chosen.select(key), key, "left_anti") if chosen is not None else pool
     fill = sample(rest.select(key), max(left, 0), f"{seed}:random", key).withColumn("stratum", F.lit("random"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from talkmill.common import spread
 from talkmill.functions.spans import found_spans, normal_value, redacted, resolved
 
 SPAN_TOKENS = "array<struct<first:int,end:int,token:string>>"
@@ -13,7 +14,7 @@ SPAN_TOKENS = "array<struct<first:int,end:int,token:string>>"
 
 def with_spans(rows: DataFrame, *, text: str = "text", roster: str | None = None) -> DataFrame:
     """`rows` with `spans` (resolved, in order)."""
-    return rows.withColumn("spans", resolved(found_spans(F.col(text), F.col(roster) if roster else None)))
+    return spread(rows).withColumn("spans", resolved(found_spans(F.col(text), F.col(roster) if roster else None)))
 
 
 def entries(rows: DataFrame, *, text: str = "text") -> DataFrame:

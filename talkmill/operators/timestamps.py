@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import bounded_broadcast, lookup_rows, table
+from talkmill.common import bounded_broadcast, lookup_rows, spread, table
 from talkmill.functions.instants import interpretations
 
 BLOCK, CONTEXT = 4096, 64
@@ -111,7 +111,7 @@ def normalise(
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     words = zone_word_map(zone_words)
     rows = df.select(F.col(key).cast("bigint").alias("_key"), F.col(raw).cast("string").alias("_raw"), as_col(source).alias("_source"), as_col(position).cast("bigint").alias("_pos"), (F.col(fallback).cast("string") if fallback else F.lit(None).cast("string")).alias("_fall"))
-    rows = rows.join(bounded_broadcast(file_facts(source_files)), "_source", "left")
+    rows = spread(rows).join(bounded_broadcast(file_facts(source_files)), "_source", "left")
     none = F.lit(None).cast("string")
     rows = rows.withColumn("_readings", interpretations(words, F.col("_raw"), F.col("_zone"), F.col("_order"))).withColumn("_back", interpretations({}, F.col("_fall"), none, none))
     rows = rows.withColumn("_fallback_us", F.when((F.size("_back") == 1) & F.col("_fall").rlike(r"(?i)(z|[+\-\x{2212}]\d{1,2}:?(\d{2})?)(\[[^\]]*\])?\s*$"), F.col("_back")[0]["utc_us"]))
