@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import bounded_broadcast, norm_id, numbered, table, trimmed, written
+from talkmill.common import bounded_broadcast, norm_id, numbered, spread, table, trimmed, written
 from talkmill.functions.instants import single_instants
 from talkmill.operators.timestamps import file_facts, utc_text, zone_word_map
 
@@ -89,7 +89,7 @@ def sided(messages: DataFrame, role_words: DataFrame, source_files: DataFrame, z
         norm_id("source_conversation_id").alias("conv"), F.col("speaker"), F.lower(trimmed("role")).alias("_word"), F.col("timestamp_raw").alias("_raw"), F.col("source_file").alias("_source"),
         (F.col("text").isNotNull() & ~F.col("text").rlike(PLACEHOLDER)).alias("filled"), *[F.col(c).alias(f"keep_{c}") for c in keep],
     ).filter("conv is not null")
-    rows = rows.join(bounded_broadcast(roles), "_word", "left").join(bounded_broadcast(file_facts(source_files)), "_source", "left")
+    rows = spread(rows).join(bounded_broadcast(roles), "_word", "left").join(bounded_broadcast(file_facts(source_files)), "_source", "left")
     at = single_instants(zone_word_map(zone_words), F.col("_raw"), F.col("_zone"), F.col("_order"))
     return rows.select("conv", "speaker", F.col("_side").alias("side"), "filled", at.alias("at"), *[f"keep_{c}" for c in keep])
 

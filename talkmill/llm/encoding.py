@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import table
+from talkmill.common import spread, table
 
 TOKENIZERS = "/opt/tokenizers"
 NAME = "byte_bpe_50k"
@@ -195,7 +195,7 @@ def decoder(spark, path: str = f"{TOKENIZERS}/{NAME}.tiktoken"):
 
 def encoded(documents: DataFrame, *, key: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{NAME}.tiktoken") -> DataFrame:
     ids: Column = encoder(documents.sparkSession, path)(F.col(text))
-    return documents.select(F.col(key).alias(key), ids.alias("ids"))
+    return spread(documents.select(F.col(key).alias(key), F.col(text).alias(text))).select(key, ids.alias("ids"))
 
 
 def p8_ids(spark, sf_dir: str) -> DataFrame:
@@ -204,6 +204,6 @@ def p8_ids(spark, sf_dir: str) -> DataFrame:
 
 def p8_roundtrip(spark, sf_dir: str) -> DataFrame:
     """Whether decoding gives each text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     back = decoder(spark)(encoder(spark)(F.col("text")))
     return docs.select("doc_id", (back == F.coalesce("text", F.lit(""))).alias("same"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import bounded_broadcast, table, trimmed
+from talkmill.common import bounded_broadcast, spread, table, trimmed
 from talkmill.llm.language_seed import SEED
 
 LANGUAGES = ("en", "hi", "mr", "te", "es", "pt", "de")
@@ -255,7 +255,7 @@ def segmenter(spark, model: Scores):
 
 def identified(rows: DataFrame, codes: DataFrame, *, key: str = "turn_id", text: str = "text", label: str = "language") -> DataFrame:
     """(key, label, n_words, segments, lang, confidence): lang is that of most words, confidence that of its segments by words."""
-    own = with_label(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_lab")), codes, "_lab")
+    own = with_label(spread(rows.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(label).alias("_lab"))), codes, "_lab")
     model = train(own, text="_text")
     cut = segmenter(rows.sparkSession, model)
     words = F.regexp_count(F.coalesce("_text", F.lit("")), F.lit(r"[^\s]+"))

@@ -23,7 +23,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import lookup_rows, running, table, written
+from talkmill.common import lookup_rows, running, spread, table, written
 from talkmill.llm.encoding import NAME, TOKENIZERS, token_counter
 
 SEED = "mix-1"
@@ -110,7 +110,7 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     schema = "doc_id bigint, source string, tokens int, repeats bigint"
     if not share:
         return spark.createDataFrame([], schema)
-    docs = documents.filter(F.col("source").isin(*share)).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.sha2("text", 256).alias("h"), token_counter(spark, tokenizer)(F.col("text")).alias("tokens"))
+    docs = spread(documents.filter(F.col("source").isin(*share)).select("doc_id", "source", "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", F.sha2("text", 256).alias("h"), token_counter(spark, tokenizer)(F.col("text")).alias("tokens"))
     held = docs.filter("tokens > 0").groupBy("h", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
     texts = written(held.groupBy("h").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "doc_id")))).alias("docs"), F.max("tokens").alias("tokens")).withColumn("pattern", F.array_join(F.map_keys("docs"), "\x01")))
     sums = {r.pattern: r.n for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}  # at most 2^sources rows

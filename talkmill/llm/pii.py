@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import lookup_rows, table
+from talkmill.common import lookup_rows, spread, table
 from talkmill.llm.pii_examples import examples
 
 KINDS = ("email", "phone", "id_number", "address", "person")
@@ -415,7 +415,7 @@ def redactor(spark, names: DataFrame):
 
 
 def _both(spark, sf_dir: str) -> DataFrame:
-    pick = lambda name, key: table(spark, sf_dir, name).select(F.lit(name).alias("src"), F.col(key).cast("bigint").alias("row_id"), "text")
+    pick = lambda name, key: spread(table(spark, sf_dir, name).select(F.lit(name).alias("src"), F.col(key).cast("bigint").alias("row_id"), "text"))
     return pick("messages", "message_id").unionByName(pick("syn_020", "turn_id"))
 
 

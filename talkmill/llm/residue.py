@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import table
+from talkmill.common import spread, table, written
 
 RECUR_DOCS, RECUR_SOURCES = 3, 2
 SLOT = "⟦slot⟧"
@@ -123,7 +123,8 @@ def judged(message: Column, docs: Column, sources: Column) -> Column:
 def residue(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(key, kind) of each residue kind of each document."""
     found = F.arrow_udf(_messages, "array<string>")(F.col(text))
-    parts = documents.select(F.col(key).alias("key"), F.col(source).alias("source"), F.explode(found).alias("message")).withColumn("h", F.xxhash64("message"))
+    # written once: the counts and the join both read it, and cutting texts is the dear part
+    parts = written(spread(documents.select(F.col(key).alias("key"), F.col(text).alias(text), F.col(source).alias("source"))).select("key", "source", F.explode(found).alias("message")).withColumn("h", F.xxhash64("message")))
     seen = parts.groupBy("h", "message").agg(F.count("*").alias("docs"), (F.count_distinct("source") + F.max(F.col("source").isNull().cast("int"))).alias("sources"))
     bad = seen.withColumn("kind", judged(F.col("message"), F.col("docs"), F.col("sources"))).filter("kind is not null").select("h", "message", "kind")
     return parts.select("key", "h", "message").join(bad, ["h", "message"]).select(F.col("key").alias(key), "kind").distinct()
