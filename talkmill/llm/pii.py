@@ -115,7 +115,7 @@ class Tagger:
     def train(self, rows: list[tuple[str, list[tuple[int, int, str]]]], listed: set[str]) -> None:
         own, self.listed = self.listed, frozenset(listed)
         cut, gold = [], []
-        for text, spans in rows:
+        for text, spans in sorted(rows, key=lambda r: -len(TOKEN.findall(r[0]))):
             ms = list(TOKEN.finditer(text))
             cut.append([m.group() for m in ms])
             y = np.zeros(len(ms), np.int64)
@@ -151,46 +151,37 @@ class Tagger:
             starts = np.flatnonzero(np.concatenate([[True], ks[1:] != ks[:-1]]))
             plans.append((name, o, order, starts, ks[starts]))
         y = np.concatenate(gold)
-        n, width = len(cut), int(c.lengths.max())
-        place = np.arange(len(y)) - np.repeat(np.concatenate([[0], np.cumsum(c.lengths[:-1])]), c.lengths)
-        row = np.repeat(np.arange(n), c.lengths)
-        mask = np.zeros((n, width), bool)
-        mask[row, place] = True
-        first = place == 0
+        total, width = len(y), int(c.lengths.max())
+        begin = np.concatenate([[0], np.cumsum(c.lengths)[:-1]])
+        live = np.searchsorted(-c.lengths, -np.arange(1, width + 1), side="right")  # texts longer than each place
+        places = [begin[: live[p]] + p for p in range(width)]
+        inner = np.ones(total, bool)
+        inner[begin] = False
         onehot = np.eye(N)[y]
         ytrans = np.zeros((N, N))
-        np.add.at(ytrans, (y[:-1][~first[1:]], y[1:][~first[1:]]), 1)
+        np.add.at(ytrans, (y[:-1][inner[1:]], y[1:][inner[1:]]), 1)
 
         def objective(theta: np.ndarray) -> tuple[float, np.ndarray]:
             unpack(theta)
-            e = np.zeros((n, width, N))
-            e[row, place] = self.emissions(c)
+            e = self.emissions(c)
             t = np.exp(self.trans)
-            alpha, scale = np.zeros((n, width, N)), np.ones((n, width))
-            top = e.max(axis=2)
-            x = np.exp(e - top[:, :, None])
-            a = x[:, 0] * START
-            for p in range(width):
-                if p:
-                    a = np.where(mask[:, p, None], (alpha[:, p - 1] @ t) * x[:, p], alpha[:, p - 1])
+            top = e.max(axis=1)
+            x = np.exp(e - top[:, None])
+            alpha, scale, gamma = np.empty((total, N)), np.empty(total), np.empty((total, N))
+            for p, at in enumerate(places):
+                a = (alpha[at - 1] @ t) * x[at] if p else x[at] * START
                 z = a.sum(axis=1)
-                scale[:, p] = np.where(mask[:, p], z, 1)
-                a = a / z[:, None]
-                alpha[:, p] = a
-            loglik = -(np.log(scale) + np.where(mask, top, 0)).sum()
-            beta = np.ones((n, N))
-            gamma = np.zeros((n, width, N))
-            gt = np.zeros((N, N))
+                scale[at], alpha[at] = z, a / z[:, None]
+            beta, gt = np.ones((len(cut), N)), np.zeros((N, N))
             for p in range(width - 1, -1, -1):
-                gamma[:, p] = alpha[:, p] * beta
+                at, m = places[p], live[p]
+                gamma[at] = alpha[at] * beta[:m]
                 if p:
-                    m = mask[:, p]
-                    right = x[m, p] * beta[m] / scale[m, p][:, None]
-                    gt += (alpha[m, p - 1].T @ right) * t
-                    beta = beta.copy()
-                    beta[m] = right @ t.T
-            loglik += (e[row, place][np.arange(len(y)), y]).sum() + (self.trans * ytrans).sum()
-            r = onehot - gamma[row, place]
+                    right = x[at] * beta[:m] / scale[at][:, None]
+                    gt += (alpha[at - 1].T @ right) * t
+                    beta[:m] = right @ t.T
+            loglik = -(np.log(scale) + top).sum() + e[np.arange(total), y].sum() + (self.trans * ytrans).sum()
+            r = onehot - gamma
             grad = np.zeros(ends[-1])
             g = {name: grad[a:b].reshape(z) for (name, z), a, b in zip(sizes, [0, *ends[:-1]], ends)}
             for name, o, order, starts, ks in plans:
