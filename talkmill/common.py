@@ -62,6 +62,8 @@ def spread(df: DataFrame) -> DataFrame:
 
     Scans of larger tables have more partitions than cores and stay as they are.
     """
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
