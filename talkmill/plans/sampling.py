@@ -1,14 +1,17 @@
 """Deterministic samples, orders and splits."""
 
+import re
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from talkmill.common import table
 from talkmill.functions import text as X
+from talkmill.functions.dates import FORMATS, parsed
 from talkmill.operators import extract as E
 from talkmill.operators import profile as P
 from talkmill.operators import sampling as A
+from talkmill.operators.stats import LABELS
 from talkmill.plans.fragments import ITEMS, REASON, TURNS, any_field, cue, sha
 
 _items = lambda s, d: P.items_of(table(s, d, "items"))
@@ -74,7 +77,32 @@ def wn8_order(spark, sf_dir):
     return E.out_of_order(m, "source_file", "ingested_at", ["source_row"]).select("message_id", "source_file", "source_row")
 
 
+def dt1_parsed(spark, sf_dir):
+    m = table(spark, sf_dir, "messages")
+    return m.select("message_id", F.date_format(parsed(F.col("timestamp_raw")), "yyyy-MM-dd HH:mm:ss").alias("parsed"))
+
+
+def ma6_hash(spark, sf_dir):
+    """A fingerprint of each source file's texts, in row order, and of the corpus in file order."""
+    m = table(spark, sf_dir, "messages").filter("source_file is not null")
+    rows = m.groupBy("source_file").agg(F.count("*").alias("n"), F.sum(F.conv(F.substring(F.sha2(F.concat_ws(":", F.col("source_row").cast("string"), F.coalesce("text", F.lit(""))), 256), 1, 8), 16, 10).cast("bigint")).alias("sum"))
+    return rows.select("source_file", "n", F.sha2(F.concat_ws(":", "source_file", F.col("n").cast("string"), F.col("sum").cast("string")), 256).alias("hash"))
+
+
+def flt14_labels(spark, sf_dir):
+    """Labels outside the vocabulary."""
+    return table(spark, sf_dir, "annotations").filter(~F.coalesce(F.trim("label"), F.lit("")).isin(*LABELS)).groupBy("label").agg(F.count("*").alias("n"))
+
+
+def jn7_sources(spark, sf_dir):
+    """Annotations with the source of their conversation (a completeness check raises where there is none)."""
+    src = table(spark, sf_dir, "syn_020").groupBy("conversation_id").agg(F.min("provenance.source").alias("source"))
+    a = table(spark, sf_dir, "annotations").join(src.select("conversation_id"), "conversation_id", "left_semi")
+    return E.attach(a, src, "conversation_id", "source").groupBy("source").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "dt1_parsed": dt1_parsed, "ma6_hash": ma6_hash, "flt14_labels": flt14_labels, "jn7_sources": jn7_sources,
     "sm1_conversations": sm1_conversations, "sm2_quotas": sm2_quotas, "sm2_shortfall": lambda s, d: A.shortfall(sm2_quotas(s, d), 300), "sm3_recheck": sm3_recheck,
     "sm4_few_shot": lambda s, d: A.few_shot(_items(s, d), 8, "sm4"), "sm5_orders": sm5_orders, "sm6_aliases": lambda s, d: A.aliases(_items(s, d), "conversation_id", "sm6"), "sm7_batches": lambda s, d: A.batches(_items(s, d), "row", "sm7"),
     "sm9_whole_turns": sm9_whole_turns, "wn5_names": lambda s, d: A.numbered_conversations(_items(s, d), "conversation_id"), "wn8_order": wn8_order, "wn11_split": wn11_split, "jn8_overlap": lambda s, d: E.semi_count(table(s, d, "annotations"), table(s, d, "syn_020"), "conversation_id"),
@@ -92,7 +120,15 @@ q AS (SELECT turn_id, 'correction' AS stratum FROM s1 UNION ALL SELECT turn_id,
 _CONV = f"cv AS (SELECT conversation_id, count(*) AS items, {sha(chr(39) + 'wn11' + chr(39), 'conversation_id')} AS h FROM i WHERE conversation_id IS NOT NULL GROUP BY 1), c1 AS (SELECT *, coalesce(sum(items) OVER (ORDER BY h, conversation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM cv), c2 AS (SELECT conversation_id, items, coalesce(sum(items) OVER (ORDER BY h, conversation_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c1 WHERE b >= 200)"
 _FIRST = f"f AS (SELECT action, min((h, row)) AS x FROM (SELECT action, row, {sha(chr(39) + 'sm4' + chr(39), 'row::VARCHAR')} AS h FROM i WHERE action IS NOT NULL) GROUP BY 1 ORDER BY action LIMIT 8), o AS (SELECT x[2] AS row, action FROM f UNION ALL (SELECT row, action FROM i WHERE action IS NOT NULL AND row NOT IN (SELECT x[2] FROM f) ORDER BY {sha(chr(39) + 'sm4' + chr(39), 'row::VARCHAR')} LIMIT greatest(0, 8 - (SELECT count(*) FROM f))))"
 
+_FMT = [f.replace("yyyy", "%Y").replace("yy", "%y").replace("d", "%-d").replace("M", "%-m").replace("H", "%-H").replace("h", "%-I").replace(":m", ":%-M").replace(":s", ":%-S").replace("a", "%p") for f in FORMATS]
+_SHAPE = [r"\d{1,2}".join(re.split("N", f.replace("yyyy", "Y").replace("yy", "y").replace("a", "P").replace("d", "N").replace("M", "N").replace("H", "N").replace("h", "N").replace("m", "N").replace("s", "N"))).replace("Y", r"\d{4}").replace("y", r"\d{2}").replace("P", "[AaPp][Mm]") for f in FORMATS]
+_ISO = r"(\d{4}-\d{2}-\d{2})[T ](\d{2}:\d{2}:\d{2})(?:[.,]\d+)?(?:Z|[+-]\d{2}:?\d{2})?"
+
 ORACLES = {
+    "dt1_parsed": f"SELECT message_id, strftime(coalesce(CASE WHEN regexp_full_match(x, '{_ISO}') THEN try_strptime(regexp_extract(x, '{_ISO}', 1) || ' ' || regexp_extract(x, '{_ISO}', 2), '%Y-%m-%d %H:%M:%S') END, " + ", ".join(f"CASE WHEN regexp_full_match(x, '{s}') THEN try_strptime(x, '{f}') END" for f, s in zip(_FMT, _SHAPE)) + "), '%Y-%m-%d %H:%M:%S') AS parsed FROM (SELECT message_id, trim(timestamp_raw) AS x FROM messages)",
+    "ma6_hash": "SELECT source_file, n, sha256(concat_ws(':', source_file, n::VARCHAR, s::VARCHAR)) AS hash FROM (SELECT source_file, count(*) AS n, sum(('0x' || substr(sha256(concat_ws(':', source_row::VARCHAR, coalesce(text, ''))), 1, 8))::BIGINT) AS s FROM messages WHERE source_file IS NOT NULL GROUP BY 1)",
+    "flt14_labels": "SELECT label, count(*) AS n FROM annotations WHERE coalesce(trim(label), '') NOT IN (" + ", ".join(f"'{x}'" for x in LABELS) + ") GROUP BY 1",
+    "jn7_sources": "SELECT source, count(*) AS n FROM annotations JOIN (SELECT conversation_id, min(provenance.source) AS source FROM syn_020 GROUP BY 1) USING (conversation_id) GROUP BY 1",
     "sm1_conversations": f"WITH {TURNS}, p AS (SELECT conversation, count_if({REASON} IS NULL)::BIGINT AS eligible FROM t GROUP BY 1 HAVING count_if({REASON} IS NULL) >= 4) SELECT * FROM p ORDER BY {sha(chr(39) + 'sm1' + chr(39), 'conversation')}, conversation LIMIT 40",
     "sm2_quotas": f"WITH {TURNS}, {_Q} SELECT * FROM q",
     "sm2_shortfall": f"WITH {TURNS}, {_Q}, g(stratum, target) AS (VALUES ('correction', 60), ('field_mention', 120), ('hedge', 60), ('random', 60)) SELECT stratum, target, (SELECT count(*) FROM q WHERE q.stratum = g.stratum) AS got, greatest(0, target - (SELECT count(*) FROM q WHERE q.stratum = g.stratum))::BIGINT AS missing FROM g",
