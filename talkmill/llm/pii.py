@@ -31,7 +31,7 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 N = len(LABELS)
 REACH, NEAR = 4, 2
-EXAMPLES, L2, STEPS = 2600, 0.02, 60
+EXAMPLES, L2, STEPS = 2600, 0.02, 75
 PAIRS = 1 << 12
 REMEMBER = 300_000
 TOKEN = re.compile(r"[^\S\n]*(?:[^\W\d_](?:[^\W\d_]|[ऀ-ॣఀ-౥‌‍̀-ͯ])*|\d+|[^\s])|[^\S\n]*\n")

@@ -192,7 +192,7 @@ def examples(n: int, seed: int = 11) -> tuple[list[tuple[str, list[tuple[int, in
     slots = re.compile("|".join(sorted({*KIND, "REF"}, key=len, reverse=True)) + "|~(?:num|area|price|loc|projword|proj|name|firmword|bank|word|street|month|day|year|kin|deva|telu|home|place)")
     make.listed.update(w for w in _WORDS if r.random() < 0.7)
     out = []
-    with_ += [x for x in with_ if "PHONE" in x] + ["office line PHONE is always busy", "mera number PHONE hai, shaam ko call karna"] + ["PHONE"] * 6 + ["PERSON will come for the site visit", "PERSON here, any update?", "Thanks PERSON", "please speak to PERSON about it"] * 2 + ["IDNO attached", "KYC done, IDNO", "IDNO"] * 2 + ["ADDR", "current address is ADDR", "courier it to ADDR", "we live at ADDR", "pick me up from ADDR on the way"] + ["ADDR, PHONE", "ADDR. PHONE", "ADDR and whatsapp: PHONE"]
+    with_ += [x for x in with_ if "PHONE" in x] + ["office line PHONE is always busy", "mera number PHONE hai, shaam ko call karna"] + ["PHONE"] * 6 + ["PERSON will come for the site visit", "PERSON here, any update?", "Thanks PERSON", "please speak to PERSON about it"] * 2 + ["this is PERSON\nEMAIL", "regards, PERSON, EMAIL", "agreement will be in the name of PERSON\nEMAIL", "Thanks PERSON\nPHONE", "regards, PERSON, PHONE", "regards, PERSON\nIDNO attached"] + ["IDNO attached", "KYC done, IDNO", "IDNO"] * 2 + ["ADDR", "current address is ADDR", "courier it to ADDR", "we live at ADDR", "pick me up from ADDR on the way"] + ["ADDR, PHONE", "ADDR. PHONE", "ADDR and whatsapp: PHONE"]
     without += [line for lines in SEED.values() for line in lines]
     for k in range(n):
         parts = [with_[k % len(with_)] if k % 2 else without[(k // 2) % len(without)]]
