@@ -13,7 +13,7 @@ each pattern it draws on.
 
 Defined results: sources without target are left out, as are null, empty and other texts without tokens; a null or negative
 share is 0, a null max_repeats 1; shares are taken relative to their sum; of copies within a source the smallest id stands
-for all; a source with a share but no tokens makes the total 0.
+for all; a source with a share but no tokens gets none, and the others share by their relative weights.
 """
 
 from __future__ import annotations
@@ -115,6 +115,9 @@ def mix(documents: DataFrame, targets: DataFrame, *, total_tokens: int | None =
     texts = written(held.groupBy("h").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "doc_id")))).alias("docs"), F.max("tokens").alias("tokens")).withColumn("pattern", F.array_join(F.map_keys("docs"), "\x01")))
     sums = {r.pattern: r.n for r in texts.groupBy("pattern").agg(F.sum("tokens").alias("n")).collect()}  # at most 2^sources rows
     members = {p: p.split("\x01") for p in sums}
+    held_by = {x for m in members.values() for x in m}
+    there = sum(w for x, w in share.items() if x in held_by)
+    share = {x: w / there for x, w in share.items() if x in held_by}
     total = largest_total(sums, members, repeats, share)
     if total_tokens is not None:
         total = min(total, total_tokens)
