@@ -123,7 +123,8 @@ QUERIES = {
 def ml2_classifier(spark, sf_dir):
     """Predictions of a bag-of-grams classifier trained on the train split by conversation, for the dev and test items."""
     items = _items(spark, sf_dir).filter("action is not null and conversation_id is not null")
-    split = split_by_conversation(items, {"test": 200, "dev": 100}, "split-0").select("conversation_id", "split")
+    n = items.count()
+    split = split_by_conversation(items, {"test": n // 5, "dev": n // 10}, "split-0").select("conversation_id", "split")
     rows = items.select("row", "conversation_id", "user_message", "action").join(split.withColumnRenamed("split", "part"), "conversation_id")
     model = B.text_classifier(rows.filter("part = 'train'"))
     labels = next(s.labels for s in model.stages if hasattr(s, "labels"))
