@@ -114,9 +114,9 @@ def with_sides(rows: DataFrame, speakers: DataFrame) -> DataFrame:
     return known.unionByName(rest.withColumn("side", F.col("_side")).drop("_side"))
 
 
-def verdicts(rows: DataFrame) -> DataFrame:
-    """conversation -> state of the automaton after all its rows. `rows` as from `sided`."""
-    speakers = speaker_sides(rows)
+def verdicts(rows: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
+    """conversation -> state of the automaton after all its rows. `rows` as from `sided`, `speakers` as from `speaker_sides`."""
+    speakers = speaker_sides(rows) if speakers is None else speakers
     told = with_sides(rows.select("conv", "speaker", "side", "filled", "at"), speakers)
     content = told.filter(F.col("filled") & (F.coalesce("side", F.lit("")) != "system"))
     sign = F.when(F.col("at").isNull() | F.col("side").isNull(), X).when(F.col("side") == "agent", A).when(F.col("side") == "customer", C).otherwise(X)
@@ -150,8 +150,9 @@ def rebuild(rows: DataFrame) -> DataFrame:
 
     `rows` as from `sided` with message_id, source_row and text kept.
     """
-    kept = verdicts(rows).filter(F.col("state") == ANSWERED).select("conv")
-    told = with_sides(rows, speaker_sides(rows)).join(kept, "conv", "left_semi")
+    speakers = written(speaker_sides(rows))
+    kept = verdicts(rows, speakers).filter(F.col("state") == ANSWERED).select("conv")
+    told = written(with_sides(rows, speakers).join(kept, "conv", "left_semi"))  # turns and notes both read it
     said = told.filter(F.col("filled") & F.col("side").isin("customer", "agent")).withColumn("_rank", (F.col("side") == "customer").cast("int"))
     turns = numbered(said, "conv", ["at", "_rank", "keep_source_row", "keep_message_id"], "turn")
     notes = told.filter(F.col("side") == "system").withColumn("turn", F.lit(None).cast("bigint"))
