@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from talkmill.common import table
-from talkmill.functions import text as X
 from talkmill.operators import baselines as B
 from talkmill.operators import gates
 from talkmill.operators import profile as P
