@@ -1,6 +1,6 @@
 """The small labelled table that the personal-information tagger is trained from.
 
-Carrier sentences, written for this purpose, with slots. Slots in capitals are filled with invented personal information and
+Carrier sentences with slots, written for this purpose after reading the project's tables; many follow their wording. Slots in capitals are filled with invented personal information and
 labelled; slots after ~ are filled with invented other matter (references, prices, localities, projects, firms).
 Names are made of random syllables, so that the tagger learns shapes and contexts and not names.
 """
