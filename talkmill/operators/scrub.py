@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from talkmill.common import spread
+from talkmill.common import join_hot, spread, trimmed
 from talkmill.functions.spans import found_spans, normal_value, redacted, resolved
 
 SPAN_TOKENS = "array<struct<first:int,end:int,token:string>>"
@@ -25,24 +25,52 @@ def entries(rows: DataFrame, *, text: str = "text") -> DataFrame:
     return each.select("conversation", "turn", F.col("s.category").alias("category"), F.col("s.first").alias("first"), F.col("s.end").alias("end"), value.alias("original"), norm.alias("norm"))
 
 
-def placeholders(found: DataFrame) -> DataFrame:
+def rosters(rows: DataFrame) -> DataFrame:
+    """(conversation, roster, rows): the speakers of each conversation by first appearance. `rows` have conversation, turn, speaker.
+
+    Blank speakers are none. A roster is held whole, so it grows with the speakers of one conversation, not with its turns.
+    """
+    name = trimmed("speaker")
+    each = rows.groupBy("conversation", F.when(name != "", name).alias("speaker")).agg(F.min("turn").alias("turn"), F.count("*").alias("n"))
+    who = F.array_sort(F.collect_list(F.when(F.col("speaker").isNotNull(), F.struct("turn", "speaker"))))
+    return each.groupBy("conversation").agg(F.transform(who, lambda x: x["speaker"]).alias("roster"), F.sum("n").alias("rows"))
+
+
+def with_roster(rows: DataFrame, people: DataFrame) -> DataFrame:
+    """`rows` with the `roster` of their conversation, of `rosters`."""
+    return join_hot(rows, people, "conversation", "rows")
+
+
+def placeholders(found: DataFrame, people: DataFrame | None = None) -> DataFrame:
     """(conversation, category, norm, token): numbered by first appearance, where later places of a turn come first.
 
-    The window is over the distinct values of one category in one conversation.
+    The persons of `people` (of `rosters`) come first, in the order of the roster, whether or not they are found. The window is
+    over the distinct values of one category in one conversation.
     """
-    first = found.groupBy("conversation", "category", "norm").agg(F.min(F.struct("turn", (-F.col("first")).alias("p"))).alias("o"))
-    k = F.row_number().over(W.partitionBy("conversation", "category").orderBy("o.turn", "o.p"))
+    each = found.select("conversation", "category", "norm", F.struct(F.lit(1).alias("late"), "turn", (-F.col("first")).alias("p")).alias("o"))
+    if people is not None:
+        turn = found.schema["turn"].dataType
+        named = people.select("conversation", F.posexplode("roster").alias("p", "speaker"))
+        person = F.lit("PERSON")
+        each = each.unionByName(named.select("conversation", person.alias("category"), normal_value(person, F.col("speaker")).alias("norm"), F.struct(F.lit(0).alias("late"), F.lit(None).cast(turn).alias("turn"), F.col("p")).alias("o")))
+    first = each.groupBy("conversation", "category", "norm").agg(F.min("o").alias("o"))
+    k = F.row_number().over(W.partitionBy("conversation", "category").orderBy("o"))
     return first.select("conversation", "category", "norm", F.concat(F.lit("["), "category", F.lit("_"), k.cast("string"), F.lit("]")).alias("token"))
 
 
-def scrub(rows: DataFrame, *, text: str = "text", roster: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(turns with `clean`, audit entries with `token`). `rows` have conversation, turn (unique within it) and text."""
+def scrub(rows: DataFrame, *, text: str = "text", people: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(turns with `clean`, audit entries with `token`). `rows` have conversation, turn (unique within it) and text.
+
+    With `people` (of `rosters`) the names of a conversation's speakers go as well, and turns keep their `roster`.
+    """
     from talkmill.common import written
     from talkmill.functions.spans import replaced
 
-    held = written(with_spans(rows, text=text, roster=roster))
+    if people is not None:
+        rows = with_roster(rows, people)
+    held = written(with_spans(rows, text=text, roster="roster" if people is not None else None))
     found = entries(held, text=text)
-    audit = written(found.join(placeholders(found), ["conversation", "category", "norm"]))
+    audit = written(found.join(placeholders(found, people), ["conversation", "category", "norm"]))
     tokens = audit.groupBy("conversation", "turn").agg(F.array_sort(F.collect_list(F.struct("first", "end", "token"))).alias("tokens"))
     out = held.join(tokens, ["conversation", "turn"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast(SPAN_TOKENS)))
     return out.withColumn("clean", replaced(F.col(text), F.col("tokens"))).drop("tokens", "spans"), audit
@@ -54,11 +82,11 @@ def replacement_counts(audit: DataFrame) -> DataFrame:
     return per.groupBy("category").agg(F.sum("n").alias("replacements"), F.count("*").alias("entities"))
 
 
-def residual(clean: DataFrame, *, text: str = "clean") -> DataFrame:
-    """Per category, what the rules still find after scrubbing."""
+def residual(clean: DataFrame, *, text: str = "clean", roster: str | None = None) -> DataFrame:
+    """Per category, what the rules still find after scrubbing; names only with the `roster` that scrubbing had."""
     from talkmill.common import written
 
-    spans = resolved(found_spans(F.regexp_replace(F.col(text), r"\[[A-Z]+_\d+\]", " ")))
+    spans = resolved(found_spans(F.regexp_replace(F.col(text), r"\[[A-Z]+_\d+\]", " "), F.col(roster) if roster else None))
     held = written(clean.select(spans.alias("spans")))
     return held.select(F.explode(redacted(F.col("spans"))).alias("s")).groupBy(F.col("s.category").alias("category")).agg(F.count("*").alias("left"))
 

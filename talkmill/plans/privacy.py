@@ -19,16 +19,24 @@ def pi1_mails(spark, sf_dir):
     return s.select("message_id", F.col("s.category").alias("category"), F.expr("substring(text, s.first + 1, s.end - s.first)").alias("value"))
 
 
+def _scrubbed(spark, sf_dir):
+    """Turns and audit, with the names of each conversation's speakers."""
+    from talkmill.common import written
+
+    rows = _rows(spark, sf_dir)
+    return R.scrub(rows, people=written(R.rosters(rows)))
+
+
 def ag20_replacements(spark, sf_dir):
-    return R.replacement_counts(R.scrub(_rows(spark, sf_dir))[1])
+    return R.replacement_counts(_scrubbed(spark, sf_dir)[1])
 
 
 def pi11_scrubbed(spark, sf_dir):
-    return R.scrub(_rows(spark, sf_dir))[0].select("turn", "clean")
+    return _scrubbed(spark, sf_dir)[0].select("turn", "clean")
 
 
 def ag20_residual(spark, sf_dir):
-    return R.residual(R.scrub(_rows(spark, sf_dir))[0])
+    return R.residual(_scrubbed(spark, sf_dir)[0], roster="roster")
 
 
 def pi13_speakers(spark, sf_dir):

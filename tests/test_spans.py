@@ -50,3 +50,23 @@ def test_speakers(spark):
     roles = spark.createDataFrame([("A", "customer")], "speaker string, role string")
     assert sorted(map(tuple, R.speakers(df, roles).collect())) == [("c", "A", "SPEAKER_1", "customer"), ("c", "B", "SPEAKER_2", "agent"), ("d", "A", "SPEAKER_1", "customer")]
     assert {r.role for r in R.speakers(df).collect()} == {"unknown", "agent"}
+
+
+def test_speakers_are_scrubbed(spark):
+    rows = [("c", 1, "Priya Sharma", "hi, Ravi here? call 9876543210"), ("c", 2, " ravi ", "yes PRIYA, sharma.x@y.example and Priya sharma"), ("c", 3, None, "mail Priya Sharma@yo.example"), ("d", 1, "Ravi", "Priya and Ravi"), ("d", 2, " ", None)]
+    df = spark.createDataFrame(rows, "conversation string, turn int, speaker string, text string")
+    out, audit = R.scrub(df, people=R.rosters(df))
+    got = {(r.conversation, r.turn): r.clean for r in out.collect()}
+    assert got["c", 1] == "hi, [PERSON_2] here? call [PHONE_1]" and got["c", 2] == "yes [PERSON_1], [EMAIL_1] and [PERSON_1]" and got["c", 3] == "mail [PERSON_1] [EMAIL_2]"
+    assert got["d", 1] == "Priya and [PERSON_1]" and got["d", 2] is None
+    assert {r.category: (r.replacements, r.entities) for r in R.replacement_counts(audit).collect()} == {"PERSON": (5, 3), "PHONE": (1, 1), "EMAIL": (2, 2)}
+    assert R.residual(out, roster="roster").collect() == [] and [tuple(r) for r in R.residual(out, text="text", roster="roster").filter("category = 'PERSON'").collect()] == [("PERSON", 5)]
+    assert S.persons("ſam and SAM", ["Sam", "Sam Lee"]) == [(0, 3, "PERSON", "Sam Lee"), (8, 11, "PERSON", "Sam Lee")]
+
+
+def test_scrub_queries_know_the_speakers(spark, tmp_path):
+    from talkmill.plans import privacy
+
+    spark.createDataFrame([(1, "c", "Priya", None, "I am priya")], "message_id long, source_conversation_id string, speaker string, role string, text string").write.parquet(f"{tmp_path}/messages.parquet")
+    assert [tuple(r) for r in privacy.pi11_scrubbed(spark, str(tmp_path)).collect()] == [(1, "I am [PERSON_1]")]
+    assert [tuple(r) for r in privacy.ag20_replacements(spark, str(tmp_path)).collect()] == [("PERSON", 1, 1)] and privacy.ag20_residual(spark, str(tmp_path)).collect() == []
