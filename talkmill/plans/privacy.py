@@ -7,8 +7,11 @@ from talkmill.operators import scrub as R
 
 
 def _rows(spark, sf_dir):
-    m = table(spark, sf_dir, "messages").filter("source_conversation_id is not null and text is not null")
-    return m.select(F.col("source_conversation_id").alias("conversation"), F.col("message_id").alias("turn"), "speaker", "role", "text")
+    """All messages. One without a conversation id is a conversation of its own: nothing says what it belongs to."""
+    m = table(spark, sf_dir, "messages")
+    given = F.nullif(F.col("source_conversation_id"), F.lit(""))
+    own = F.coalesce(F.concat(F.lit("id:"), given), F.concat(F.lit("row:"), F.col("message_id").cast("string")))
+    return m.select(own.alias("conversation"), F.col("message_id").alias("turn"), "speaker", "role", "text")
 
 
 def pi1_mails(spark, sf_dir):
@@ -40,7 +43,9 @@ def ag20_residual(spark, sf_dir):
 
 
 def pi13_speakers(spark, sf_dir):
-    return R.speakers(_rows(spark, sf_dir))
+    """Speakers of the conversations that have an id, numbered over the turns with text, as in its SQL."""
+    m = table(spark, sf_dir, "messages").filter("source_conversation_id is not null and text is not null")
+    return R.speakers(m.select(F.col("source_conversation_id").alias("conversation"), F.col("message_id").alias("turn"), "speaker", "role"))
 
 
 QUERIES = {"pi1_mails": pi1_mails, "pi11_scrubbed": pi11_scrubbed, "pi13_speakers": pi13_speakers, "ag20_replacements": ag20_replacements, "ag20_residual": ag20_residual}

@@ -70,3 +70,14 @@ def test_scrub_queries_know_the_speakers(spark, tmp_path):
     spark.createDataFrame([(1, "c", "Priya", None, "I am priya")], "message_id long, source_conversation_id string, speaker string, role string, text string").write.parquet(f"{tmp_path}/messages.parquet")
     assert [tuple(r) for r in privacy.pi11_scrubbed(spark, str(tmp_path)).collect()] == [(1, "I am [PERSON_1]")]
     assert [tuple(r) for r in privacy.ag20_replacements(spark, str(tmp_path)).collect()] == [("PERSON", 1, 1)] and privacy.ag20_residual(spark, str(tmp_path)).collect() == []
+
+
+def test_scrub_queries_read_every_message(spark, tmp_path):
+    from talkmill.plans import privacy
+
+    rows = [(1, None, "Priya", None, "priya: 9876543210"), (2, None, "Ravi", None, "Priya: 9876543211"), (3, "c", "Ravi", None, None), (4, "c", "Priya", None, "ravi"), (5, "", None, None, "xa@yo.example")]
+    spark.createDataFrame(rows, "message_id long, source_conversation_id string, speaker string, role string, text string").write.parquet(f"{tmp_path}/messages.parquet")
+    got = dict(map(tuple, privacy.pi11_scrubbed(spark, str(tmp_path)).collect()))
+    assert got == {1: "[PERSON_1]: [PHONE_1]", 2: "Priya: [PHONE_1]", 3: None, 4: "[PERSON_1]", 5: "[EMAIL_1]"}
+    assert {r[0]: (r[1], r[2]) for r in privacy.ag20_replacements(spark, str(tmp_path)).collect()} == {"PERSON": (2, 2), "PHONE": (2, 2), "EMAIL": (1, 1)}
+    assert sorted(tuple(r) for r in privacy.pi13_speakers(spark, str(tmp_path)).collect()) == [("c", "Priya", "SPEAKER_1", "unknown")]
