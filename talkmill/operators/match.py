@@ -61,18 +61,22 @@ def _token_blocks(names: DataFrame, blocks: int, salt: int) -> DataFrame:
     return names.withColumn("b", F.pmod(F.xxhash64("n", F.lit(salt)), F.lit(blocks)))
 
 
-def nearest_by_tokens(queries: DataFrame, reference: DataFrame, *, name: str = "name") -> DataFrame:
+def nearest_by_tokens(queries: DataFrame, reference: DataFrame, *, name: str = "name", key: str | None = None) -> DataFrame:
     """(name, nearest, score): the reference name of highest token Jaccard, the first in order among ties; 0 and the first name without a shared token.
 
+    With `key` the queries are rows of the reference and a row is not its own neighbour: a name is its own nearest only where
+    a row of another key has it too.
+
     Work is over distinct names in blocks, as in `nearest_by_cosine`. A pair of blocks makes a list of places for every token
     of its candidates; the overlaps of a query with all of them are the counts over the lists of its tokens. Each query keeps
     its best of the block, so no pair of names is emitted.
     """
     q = queries.select(F.col(name).alias("n")).filter("n is not null").distinct().withColumn("t", F.array_distinct(name_tokens("n")))
-    r = reference.select(F.col(name).alias("n")).filter("n is not null").distinct().withColumn("t", F.array_distinct(name_tokens("n")))
+    alone = F.count_distinct(key) < 2 if key else F.lit(False)
+    r = reference.withColumn("n", F.col(name)).filter("n is not null").groupBy("n").agg(alone.alias("alone")).withColumn("t", F.array_distinct(name_tokens("n")))
     nq, nr = max(1, -(-q.count() // QUERY_BLOCK)), max(1, -(-r.count() // CANDIDATE_BLOCK))
     left = _token_blocks(q, nq, 1).select(F.col("b").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("cb"), "n", "t")
-    right = _token_blocks(r, nr, 2).select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("b").alias("cb"), "n", "t")
+    right = _token_blocks(r, nr, 2).select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.col("b").alias("cb"), "n", "t", "alone")
 
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
         names, near, score = [], [], []
@@ -85,13 +89,17 @@ def nearest_by_tokens(queries: DataFrame, reference: DataFrame, *, name: str = "
                 lists.setdefault(t, []).append(k)
             held = {t: np.array(x) for t, x in lists.items()}
             sorted_names = b["n"].to_pylist()
+            own = {n: k for k, (n, x) in enumerate(zip(sorted_names, b["alone"].to_pylist())) if x}
             for n, ts in zip(a["n"].to_pylist(), a["t"].to_pylist()):
                 met = [held[t] for t in ts if t in held]
                 both = np.bincount(np.concatenate(met), minlength=len(sizes)) if met else np.zeros(len(sizes), np.int64)
                 union = sizes + len(ts) - both
                 s = np.divide(both, union, out=np.zeros(len(sizes)), where=union > 0)
+                if n in own:
+                    s[own[n]] = -1
                 k = int(s.argmax())
-                names.append(n), near.append(sorted_names[k]), score.append(float(s[k]))
+                if s[k] >= 0:
+                    names.append(n), near.append(sorted_names[k]), score.append(float(s[k]))
         return pa.table({"n": pa.array(names, pa.string()), "nearest": pa.array(near, pa.string()), "score": pa.array(score, pa.float64())})
 
     found = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(best, "n string, nearest string, score double")
