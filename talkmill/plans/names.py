@@ -8,20 +8,23 @@ from talkmill.operators import gates
 from talkmill.operators import match as M
 
 
+def _named(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("owner"), F.concat_ws("_", "p_name", F.initcap("p_type"), F.concat(F.lit("sizes"), (F.col("p_size") % 7).cast("string"))).alias("name"))
+
+
 def _sides(spark, sf_dir):
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_brand").alias("owner"), F.concat_ws("_", "p_name", F.initcap("p_type"), F.concat(F.lit("sizes"), (F.col("p_size") % 7).cast("string"))).alias("name"))
+    p = _named(spark, sf_dir)
     return p.filter("k % 2 = 0"), p.filter("k % 2 = 1")
 
 
 def _kinds(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     both = p.select(F.col("p_partkey").alias("k"), F.lit("slot").alias("kind"), F.concat_ws("_", "p_name", (F.col("p_size") % 9).cast("string")).alias("name")).unionByName(p.select(F.col("p_partkey").alias("k"), F.lit("intent").alias("kind"), F.concat_ws(" ", "p_type", (F.col("p_size") % 23).cast("string")).alias("name")))
-    return both.filter("k % 2 = 0"), both.filter("k % 2 = 1 and k % 3 = 0")
+    return both.filter("k % 2 = 0"), both.filter("k % 2 = 1")
 
 
 def fn1_names(spark, sf_dir):
-    q, _ = _sides(spark, sf_dir)
-    return q.select("k", X.exact_name("name").alias("n0"), X.split_name("name").alias("n1"), X.stem_name("name").alias("n2"))
+    return _named(spark, sf_dir).select("k", X.exact_name("name").alias("n0"), X.split_name("name").alias("n1"), X.stem_name("name").alias("n2"))
 
 
 def jn1_flags(spark, sf_dir):
