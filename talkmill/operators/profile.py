@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import (
-    CODE_MIXED_CUES, CORRECTION_CUES, FIELD_WORDS, HEDGE_CUES, MEDIA_ORDER, STRATA, blank_to_null, cue_pattern, has_cue, media_kind, mentions, normalise_message, normalise_reply, rejection, script_flags, stable_hash, strata, word_count,
+    AMOUNT_PATTERN, CODE_MIXED_CUES, CORRECTION_CUES, FIELD_WORDS, HEDGE_CUES, LOCALITY_PATTERN, MEDIA_ORDER, STRATA, blank_to_null, cue_pattern, field_pattern, has_cue, media_kind, mentions, normalise_message, normalise_reply, rejection, script_flags, stable_hash, strata, word_count,
 )
 
 CLASS_FLOOR, MAX_CLASSES, MAX_SHARE, MAX_CHARS, MAX_WORDS = 10, 50, 0.5, 40, 6
@@ -82,6 +82,13 @@ def reply_templating(items: DataFrame) -> DataFrame:
     )
 
 
+def reply_lengths(items: DataFrame) -> DataFrame:
+    """(unit, percentile block) of the characters and the words of replies."""
+    r = items.filter("reply is not null").select(F.length("reply").cast("bigint").alias("chars"), word_count("reply").cast("bigint").alias("words"))
+    block = lambda unit: percentile_block(r, unit).select(F.lit(unit).alias("unit"), "*")
+    return block("chars").unionByName(block("words"))
+
+
 def memory_dependence(items: DataFrame) -> DataFrame:
     """Messages that recur with different actions: groups, ambiguous groups and items, and conflicts at the same turn."""
     rows = items.filter("action is not null").select(normalise_message(F.coalesce("user_message", F.lit(""))).alias("m"), "turn_index", "action")
@@ -194,13 +201,21 @@ def _long(rows: DataFrame, aggs: dict[tuple[str, str], Column]) -> DataFrame:
 
 
 def cue_frequencies(turns: DataFrame) -> DataFrame:
-    """(section, name, n): eligible turns holding each cue and each field word, zeros included, in one pass."""
+    """(section, name, n): eligible turns holding each cue, zeros included, in one pass."""
     ok = with_rejection(turns).filter("reason is null")
     aggs = {("correction", c): F.count_if(F.col("text").rlike(cue_pattern((c,)))) for c in CORRECTION_CUES}
     aggs |= {("hedge", c): F.count_if(F.col("text").rlike(cue_pattern((c,)))) for c in HEDGE_CUES}
     return _long(ok.select("text"), aggs)
 
 
+def field_word_frequencies(turns: DataFrame) -> DataFrame:
+    """(section, name, n): eligible turns holding each word of each field, bounded by letters as `mentions` has it, and the two other patterns; zeros included."""
+    ok = with_rejection(turns).filter("reason is null")
+    aggs = {(f, w): F.count_if(F.col("text").rlike(field_pattern((w,)))) for f in sorted(FIELD_WORDS) for w in FIELD_WORDS[f]}
+    aggs |= {("pattern", "amount"): F.count_if(F.col("text").rlike(AMOUNT_PATTERN)), ("pattern", "locality_suffix"): F.count_if(F.col("text").rlike(LOCALITY_PATTERN))}
+    return _long(ok.select("text"), aggs)
+
+
 def script_profile(turns: DataFrame) -> DataFrame:
     """(section, name, n): eligible turns by script bucket."""
     ok = with_rejection(turns).filter("reason is null").select("text")

@@ -45,6 +45,7 @@ QUERIES = {
     "ag3_actions_hashed": lambda s, d: P.action_distribution(_I(s, d), show_names=False),
     "ag4_class_safety": lambda s, d: P.class_safety(_I(s, d)),
     "ag5_templates": lambda s, d: P.reply_templating(_I(s, d)),
+    "ag5_lengths": lambda s, d: P.reply_lengths(_I(s, d)),
     "ag6_memory": lambda s, d: P.memory_dependence(_I(s, d)),
     "ag7_duplicates": lambda s, d: P.duplicate_report(_I(s, d), "user_message", "split").withColumn("first_hashes", F.array_join("first_hashes", ",")),
     "ag7_groups": ag7_groups,

@@ -44,6 +44,7 @@ QUERIES = {
     "ag13_conversations": lambda s, d: P.conversation_counts(_T(s, d)),
     "ag15_census": lambda s, d: P.census(_T(s, d)),
     "ag16_cues": lambda s, d: P.cue_frequencies(_T(s, d)),
+    "ag16_words": lambda s, d: P.field_word_frequencies(_T(s, d)),
     "ag17_scripts": lambda s, d: P.script_profile(_T(s, d)),
     "ag18_short_turns": lambda s, d: P.short_turns(_T(s, d)),
 }

@@ -53,3 +53,16 @@ def test_cosine(spark):
 def test_queries_and_sql_have_the_same_names():
     assert set(registry.oracles()) <= set(registry.queries())
     assert len(registry.queries()) > 80
+
+
+def test_field_words_are_counted(spark):
+    df = spark.createDataFrame([("customer", "need a 3BHK flat near work"), ("customer", "a flat for 80 lakhs please"), ("agent", "this flat is near you"), ("customer", "platform is the flattest one")], "role string, text string")
+    got = {(r.section, r.name): r.n for r in P.field_word_frequencies(df).collect()}
+    assert got["property_type", "bhk"] == 1 and got["property_type", "flat"] == 2 and got["location_preference", "near"] == 1 and got["budget", "lakhs"] == 1
+    assert got["budget", "loan"] == 0 and got["pattern", "amount"] == 1 and got["pattern", "locality_suffix"] == 0
+    assert len(got) == sum(map(len, P.FIELD_WORDS.values())) + 2 and "ag16_words" in registry.queries()
+
+
+def test_reply_lengths(spark):
+    got = {r.unit: tuple(r)[1:] for r in P.reply_lengths(spark.createDataFrame([("ab cd",), ("x",), (None,)], "reply string")).collect()}
+    assert got == {"chars": (2, 3.0, 3.0, 5, 5, 1), "words": (2, 1.5, 1.5, 2, 2, 1)} and "ag5_lengths" in registry.queries()
