@@ -64,3 +64,22 @@ def test_rarest_label_first():
     need = np.outer([0.5, 0.5], vectors.sum(axis=0))
     split = splits.stratify(list("abcde"), vectors, need)
     assert split[0] == 0 and sorted(split[1:]) == [0, 0, 1, 1]
+
+
+def test_label_shares_over_many_shards(spark):
+    """Far more families than a shard holds, 90 labels of which many are rare: every label is spread by the shares."""
+    rnd = random.Random(7)
+    rows, labels = [], [f"l{k:02d}" for k in range(90)]
+    for k in range(6000):
+        for _ in range(rnd.randrange(1, 5)):
+            rows.append((f"C{k}", labels[min(int(rnd.expovariate(0.09)), 89)], None))
+    i = items(spark, rows)
+    got = splits.assign(i, threads(spark, [(f"C{rnd.randrange(6000)}", f"CT{rnd.randrange(4000):08d}") for _ in range(1500)]), shard=500).toPandas()
+    assert got.groupby("family").split.nunique().max() == 1 and len(got) == len(rows)
+    got["label"] = [rows[k][1] for k in got.row_no]
+    off = 0.0
+    for _, g in got.groupby("label"):
+        part = g.split.value_counts(normalize=True)
+        off = max(off, *(abs(part.get(s, 0) - w) - 4 / len(g) for s, w in splits.SHARES.items()))
+    print(f"largest deviation of a label's share beyond four rows: {off:.3f}")
+    assert off < 0.05
