@@ -40,6 +40,8 @@ _WORD = re.compile(r"\S+")
 _CORE = re.compile(r"[^\W\d_](?:[^\W\d_]|[ऀ-ॣఀ-౥‌‍'’])*")
 _CONTACT = re.compile(r"@|\(at\)|\[at\]|://|\d")
 _CLAUSE_END = re.compile(r"[,.;:!?।|/—–)\-]$")
+BETWEEN = ("|", "/", "—", "-", "–")
+REMEMBER = 300_000
 K = len(LANGUAGES)
 INDEX = {x: k for k, x in enumerate(LANGUAGES)}
 
@@ -72,20 +74,31 @@ class Scores:
                 grams[g] += np.minimum(c, 3.0)
         self.grams = dict(grams)
         self.gram_total = sum(self.grams.values(), np.zeros(K)) + 1.0
-        self.cache: dict[str, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is known of tokens met. Only ever a matter of speed, but rows of the matrix must not outlive it."""
+        self.tokens: dict[str, int] = {}  # token as it stands -> 4 x row + 2 x (is a sign between clauses) + (ends a clause)
+        self.rows: dict[str, int] = {}  # word -> row
+        self.matrix = np.zeros((1024, K))
 
     @staticmethod
     def _grams(w: str) -> list[str]:
         w = f"^{w}$"
         return [w[k : k + 3] for k in range(len(w) - 2)]
 
-    def of(self, word: str) -> np.ndarray:
-        """Scores relative to the best language, 0 for all if the word tells nothing."""
-        got = self.cache.get(word)
-        if got is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            got = self.cache[word] = self._score(word)
+    def row(self, word: str) -> int:
+        """Where the scores of a word stand: relative to the best language, 0 for all if the word tells nothing."""
+        k = self.rows.get(word)
+        if k is None:
+            k = self.rows[word] = len(self.rows)
+            if k == len(self.matrix):
+                self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
+            self.matrix[k] = self._score(word)
+        return k
+
+    def code(self, token: str) -> int:
+        got = self.tokens[token] = 4 * self.row(core(token)) + 2 * (token in BETWEEN) + bool(_CLAUSE_END.search(token))
         return got
 
     def _score(self, word: str) -> np.ndarray:
@@ -137,30 +150,98 @@ def _tokens(text: str | None) -> list[re.Match]:
     return list(_WORD.finditer(text)) if text else []
 
 
+class Coded:
+    """Texts as one run of tokens: how many each has, where it starts, the row of each token's scores, and whether a clause ended before it."""
+
+    def __init__(self, texts: list[str | None], model: Scores):
+        if len(model.tokens) > REMEMBER:
+            model.forget()
+        get, code = model.tokens.get, model.code
+        codes: list[int] = []
+        lengths, line = np.zeros(len(texts), np.int64), []
+        for k, t in enumerate(texts):
+            if t:
+                first = len(codes)
+                if "\n" in t:
+                    for part in t.split("\n"):
+                        if len(codes) > first:
+                            line.append(len(codes))
+                        codes += [c if (c := get(w)) is not None else code(w) for w in part.split()]
+                else:
+                    codes += [c if (c := get(w)) is not None else code(w) for w in t.split()]
+                lengths[k] = len(codes) - first
+        flat = np.array(codes, np.int64)
+        self.lengths, self.start = lengths, np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(texts) else np.zeros(0, np.int64)
+        self.rows = flat >> 2
+        self.clause = (flat & 2) > 0
+        self.clause[1:] |= (flat[:-1] & 1) > 0
+        self.clause[[x for x in line if x < len(flat)]] = True
+        self.clause[self.start[lengths > 0]] = False
+
+    def languages(self, model: Scores) -> np.ndarray:
+        """The language of each token. Texts of like length are decoded together."""
+        langs = np.zeros(len(self.rows), np.int8)
+        order = np.argsort(self.lengths, kind="stable")
+        order = order[self.lengths[order] > 0]
+        sizes = self.lengths[order]
+        i = 0
+        while i < len(order):
+            longest = max(int(sizes[i]) * 2, 8)
+            j = max(i + 1, int(np.searchsorted(sizes, longest, side="right")))
+            while j > i + 1 and (j - i) * int(sizes[j - 1]) > 200_000:
+                j = i + (j - i) // 2
+            part = order[i:j]
+            n, width = self.lengths[part], int(sizes[j - 1])
+            place = np.arange(width)
+            inside = place < n[:, None]
+            at = np.where(inside, self.start[part][:, None] + place, 0)
+            got = viterbi(n, model.matrix[self.rows[at]], self.clause[at])
+            langs[at[inside]] = got[inside]
+            i = j
+        return langs
+
+
 def label_words(texts: list[str | None], model: Scores) -> list[tuple[list[re.Match], np.ndarray, np.ndarray]]:
-    """Tokens, their scores and their languages, for each text. Texts of like length are decoded together."""
-    tokens = [_tokens(t) for t in texts]
-    out: list = [(tok, np.zeros((0, K)), np.zeros(0, np.int8)) for tok in tokens]
-    order = sorted((k for k in range(len(texts)) if tokens[k]), key=lambda k: len(tokens[k]))
-    i = 0
-    while i < len(order):
-        j, width = i, len(tokens[order[i]])
-        while j < len(order) and len(tokens[order[j]]) <= max(width * 2, 8) and (j - i + 1) * len(tokens[order[j]]) <= 200_000 or j == i:
-            j += 1
-        part = order[i:j]
-        i = j
-        width = len(tokens[part[-1]])
-        scores, clause = np.zeros((len(part), width, K)), np.zeros((len(part), width), bool)
-        lengths = np.array([len(tokens[k]) for k in part])
-        for r, k in enumerate(part):
-            text, toks = texts[k], tokens[k]
-            scores[r, : len(toks)] = [model.of(core(m.group())) for m in toks]
-            clause[r, 1 : len(toks)] = [bool(_CLAUSE_END.search(a.group())) or "\n" in text[a.end() : b.start()] or b.group() in ("|", "/", "—", "-", "–") for a, b in zip(toks, toks[1:])]
-        langs = viterbi(lengths, scores, clause)
-        for r, k in enumerate(part):
-            n = lengths[r]
-            out[k] = (tokens[k], scores[r, :n], langs[r, :n])
-    return out
+    """Tokens, their scores and their languages, for each text."""
+    c = Coded(texts, model)
+    langs = c.languages(model)
+    return [(_tokens(t), model.matrix[c.rows[a : a + n]], langs[a : a + n]) for t, a, n in zip(texts, c.start.tolist(), c.lengths.tolist())]
+
+
+def batch_segments(texts: list[str | None], model: Scores) -> tuple[np.ndarray, list[np.ndarray]]:
+    """List offsets, and the columns of `segments`, for a batch of texts."""
+    c = Coded(texts, model)
+    langs = c.languages(model)
+    of = np.repeat(np.arange(len(texts)), c.lengths)
+    edge = np.flatnonzero(np.concatenate([[True], (langs[1:] != langs[:-1]) | (of[1:] != of[:-1])])) if len(langs) else np.zeros(0, np.int64)
+    none = [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+    if not len(edge):
+        return np.zeros(len(texts) + 1, np.int64), none
+    scores = model.matrix[c.rows]
+    text, lang, end = of[edge], langs[edge], np.concatenate([edge[1:], [len(langs)]])
+    sums = np.add.reduceat(scores, edge, axis=0)
+    words = np.add.reduceat((scores.min(axis=1) < -0.5).astype(np.int64), edge)
+    p = np.exp(sums - sums.max(axis=1, keepdims=True))
+    sure = p[np.arange(len(edge)), lang] / p.sum(axis=1)
+    alone = np.bincount(text, minlength=len(texts))[text] == 1
+    keep = np.where(alone, words >= ALONE_WORDS, (words >= CLAUSE_WORDS) & (sure >= CONFIDENT))
+    left = np.bincount(text[keep], minlength=len(texts)) == 0  # texts of which nothing is kept: the segment of most words
+    order = np.lexsort((edge, -words, text))
+    best = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
+    best = best[left[text[best]] & (words[best] >= ALONE_WORDS)]
+    keep[best] = True
+    pick = np.flatnonzero(keep)
+    first, last = edge[pick] - c.start[text[pick]], end[pick] - c.start[text[pick]]
+    a, b = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64)
+    for k, (t, i, j) in enumerate(zip(text[pick].tolist(), first.tolist(), last.tolist())):
+        s = texts[t]
+        if i == 0 and j == c.lengths[t]:
+            a[k], b[k] = len(s) - len(s.lstrip()), len(s.rstrip())
+        else:
+            spans = [m.span() for m in _WORD.finditer(s)]
+            a[k], b[k] = spans[i][0], spans[j - 1][1]
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(text[pick], minlength=len(texts)))])
+    return offsets, [lang[pick], a, b, words[pick], sure[pick]]
 
 
 def segments(tokens: list[re.Match], scores: np.ndarray, langs: np.ndarray) -> list[tuple[str, int, int, int, float]]:
@@ -241,12 +322,13 @@ def segmenter(spark, model: Scores):
     def cut(text: pa.Array) -> pa.Array:
         if not made:
             made.append(Scores(held.value[0]))
-        rows = [segments(*x) for x in label_words(text.to_pylist(), made[0])]
-        offsets = np.cumsum([0, *map(len, rows)])
-        flat = [s for r in rows for s in r]
-        cols = list(zip(*flat)) if flat else [[]] * 5
-        types = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64())
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["lang", "first", "end", "words", "confidence"]))
+        once = text.dictionary_encode()  # chats repeat themselves: a text is looked at once in a batch
+        offsets, cols = batch_segments(once.dictionary.to_pylist(), made[0])
+        names, types = pa.array(LANGUAGES, pa.string()), (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        flat = pa.StructArray.from_arrays([names.take(pa.array(cols[0], pa.int8())), *[pa.array(c, t) for c, t in zip(cols[1:], types)]], ["lang", "first", "end", "words", "confidence"])
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+        nothing = pa.array([[]], found.type)
+        return pa.concat_arrays([found, nothing]).take(once.indices.fill_null(len(found)))
 
     cut.__annotations__ = {"text": pa.Array, "return": pa.Array}
     run = F.arrow_udf(cut, SEGMENTS)

@@ -20,6 +20,32 @@ def test_seed_alone_tells_languages():
     assert langs([None, "", "  ", "123 456 @@ 55", "a@b.example +91 555"], model) == [[], [], [], [], []]
 
 
+def test_batches_are_as_single_texts():
+    model, rnd = K.Scores(K.seed_counts()), np.random.default_rng(5)
+    words = [w for t in TEXTS.values() for w in t.split()] + ["|", "-", "12", "a@b.example", "x,", "so.", "Qwrtz"]
+    texts = [None, "", "  \n ", *(sep.join(rnd.choice(words, int(rnd.integers(1, 40)))) for sep in (" ", "\n", "  ", " \n\t ") for _ in range(60)), *TEXTS.values(), ". ".join(TEXTS.values()), "\n".join(TEXTS.values()) + "\n"]
+    offsets, cols = K.batch_segments(texts, model)
+    for k, plain in enumerate(K.segments(*x) for x in K.label_words(texts, model)):
+        got = [(K.LANGUAGES[a], *b) for a, *b in zip(*(c[offsets[k] : offsets[k + 1]].tolist() for c in cols))]
+        assert [g[:4] for g in got] == [p[:4] for p in plain] and np.allclose([g[4] for g in got], [p[4] for p in plain])
+    assert K.batch_segments([], model)[0].tolist() == [0] and K.batch_segments([None, ""], model)[0].tolist() == [0, 0, 0]
+
+
+def test_spans_of_mixed_texts():
+    """Joined clauses of known languages: the spans found against where they were joined."""
+    model, rnd, right, all_ = K.Scores(K.seed_counts()), np.random.default_rng(9), 0, 0
+    names = list(TEXTS)
+    for _ in range(120):
+        a, b = rnd.choice(names, 2, replace=False)
+        text = f"{TEXTS[a]}. {TEXTS[b]}"
+        want = [(a, 0, len(TEXTS[a]) + 1), (b, len(TEXTS[a]) + 2, len(text))]
+        got = [s[:3] for s in K.segments(*K.label_words([text], model)[0])]
+        right += len({*got} & {*want})
+        all_ += 2
+    print(f"spans right: {right / all_:.3f}")
+    assert right / all_ >= 0.9
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
