@@ -28,6 +28,13 @@ def test_any_text(both, text):
     assert "".join(mine.decode(mine.encode(text))) == text
 
 
+@settings(max_examples=600, deadline=None)
+@given(text=st.text(alphabet=" \n\t\xa0\x1c\u3000ab'19s.é", max_size=24))
+def test_blanks_of_every_sort(both, text):
+    mine, theirs = both
+    assert mine.encode(text) == theirs(text) and mine.count(text) == len(theirs(text))
+
+
 def test_long_pieces_are_streamed(both):
     mine, theirs = both
     rnd = random.Random(1)
