@@ -70,8 +70,8 @@ def packed(annotations: DataFrame) -> tuple[DataFrame, list[str]]:
     """One row per item: who answered what, and the item's features; and the annotators. Few annotators answer an item."""
     rows = written(latest(annotations))
     who = sorted(r[0] for r in lookup_rows(rows.select("annotator_id").distinct()))
-    place = F.create_map(*[x for k, a in enumerate(who) for x in (F.lit(a), F.lit(k))]) if who else F.create_map().cast("map<string,int>")
-    rows = rows.withColumn("ann", place[F.col("annotator_id")])
+    places = annotations.sparkSession.createDataFrame([(a, k) for k, a in enumerate(who)], "annotator_id string, ann int")
+    rows = rows.join(F.broadcast(places), "annotator_id")  # no more than lookup_rows allows
     items = rows.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("ann", "code", "value"))).alias("answers"), F.max("turn_text").alias("t"), F.max("field_name").alias("f"))
     items = items.withColumn("features", F.arrow_udf(_features, "array<int>")(F.col("t"), F.col("f")))
     return written(items.select("item_id", F.col("answers.ann").alias("ann"), F.col("answers.code").alias("code"), F.col("answers.value").alias("value"), "features")), who
@@ -168,7 +168,7 @@ def fit(items: DataFrame, annotators: int, *, rounds: int = ROUNDS) -> tuple[np.
 
 
 def consensus(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(items: item_id, label, confidence, agreement, n_annotators, value), (annotators: annotator_id, reliability, kappa_like, n)."""
+    """(items: item_id, label, confidence, agreement, n_annotators, value), (annotators: annotator_id, reliability, n_items)."""
     items, who = packed(annotations)
     conf, w = fit(items, len(who))
     log_conf, w32 = np.log(conf), w.astype(np.float32)

@@ -5,7 +5,8 @@ instant or side, or of a speaker on both sides). A finite-state automaton with t
 
 Rows are range-partitioned by (conversation, instant) and sorted there, so a conversation of any size spreads over tasks.
 Each task runs the automaton from all states at once: what it emits for its part of a conversation is a map from states to
-states. These maps compose in order, at most one for each task a conversation reaches into.
+states. These maps compose in order, at most one for each task a conversation reaches into. X breaks a conversation wherever it
+stands, so its rows are only counted, map-side. Joins by conversation or speaker take those of very many rows apart.
 
 Defined results: rows with null or blank ids belong to no conversation; unknown role words say nothing; a row without role
 takes the side its speaker has elsewhere in the conversation (customer or agent before system); at one instant agents come
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.common import bounded_broadcast, norm_id, numbered, spread, table, trimmed, written
+from talkmill.common import bounded_broadcast, join_hot, norm_id, numbered, spread, table, trimmed, written
 from talkmill.functions.instants import single_instants
 from talkmill.operators.timestamps import file_facts, utc_text, zone_word_map
 
@@ -95,10 +96,10 @@ def sided(messages: DataFrame, role_words: DataFrame, source_files: DataFrame, z
 
 
 def speaker_sides(rows: DataFrame) -> DataFrame:
-    """(conv, speaker) -> on which sides the speaker's roles put it, and whether it has content there or without role."""
+    """(conv, speaker) -> on which sides the speaker's roles put it, whether it has content there or without role, and its rows without role."""
     on = lambda s: F.max((F.col("side") == s) & F.col("side").isNotNull())
     return rows.filter("speaker is not null").groupBy("conv", "speaker").agg(
-        on("customer").alias("c"), on("agent").alias("a"), on("system").alias("s"), F.max(F.col("filled") & (F.coalesce("side", F.lit("")) != "system")).alias("says"), F.max(F.col("side").isNull()).alias("open")
+        on("customer").alias("c"), on("agent").alias("a"), on("system").alias("s"), F.max(F.col("filled") & (F.coalesce("side", F.lit("")) != "system")).alias("says"), F.count_if(F.col("side").isNull()).alias("open")
     )
 
 
@@ -110,23 +111,27 @@ def _other_side() -> Column:
 def with_sides(rows: DataFrame, speakers: DataFrame) -> DataFrame:
     """Rows with the side that their role or else their speaker's other rows give. Only rows without own side are joined."""
     known = rows.filter("side is not null or speaker is null")
-    rest = rows.filter("side is null and speaker is not null").join(speakers.filter("open").select("conv", "speaker", _other_side().alias("_side")), ["conv", "speaker"], "left")
-    return known.unionByName(rest.withColumn("side", F.col("_side")).drop("_side"))
+    who = F.struct("conv", "speaker").alias("_who")
+    rest = join_hot(rows.filter("side is null and speaker is not null").withColumn("_who", who), speakers.filter("open > 0").select(who, _other_side().alias("_side"), "open"), "_who", "open")
+    return known.unionByName(rest.withColumn("side", F.col("_side")).drop("_side", "_who"))
 
 
 def verdicts(rows: DataFrame, speakers: DataFrame | None = None) -> DataFrame:
-    """conversation -> state of the automaton after all its rows. `rows` as from `sided`, `speakers` as from `speaker_sides`."""
+    """conversation -> state of the automaton after all its rows, and how many rows it has. `rows` as from `sided`, `speakers` as from `speaker_sides`."""
     speakers = speaker_sides(rows) if speakers is None else speakers
     told = with_sides(rows.select("conv", "speaker", "side", "filled", "at"), speakers)
     content = told.filter(F.col("filled") & (F.coalesce("side", F.lit("")) != "system"))
     sign = F.when(F.col("at").isNull() | F.col("side").isNull(), X).when(F.col("side") == "agent", A).when(F.col("side") == "customer", C).otherwise(X)
-    signs = content.select("conv", F.coalesce("at", F.lit(-(2**62))).alias("at"), sign.cast("int").alias("sign"))
-    parts = signs.repartitionByRange("conv", "at", "sign").sortWithinPartitions("conv", "at", "sign").mapInArrow(_automaton, "conv string, at bigint, map array<tinyint>")
-    both = speakers.filter("c and a and says").select("conv").distinct().select("conv", F.lit(2**62).alias("at"), F.array(*[F.lit(BROKEN).cast("tinyint")] * 5).alias("map"))
-    nothing = rows.groupBy("conv").agg(F.lit(-(2**63) + 1).alias("at")).select("conv", "at", F.array(*[F.lit(k).cast("tinyint") for k in range(5)]).alias("map"))
-    merged = parts.unionByName(both).unionByName(nothing).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "map"))).alias("parts"))
+    signs = content.select("conv", "at", sign.cast("int").alias("sign"))
+    zero = F.lit(0).cast("bigint").alias("n")
+    ordered = signs.filter(F.col("sign") != X).select("conv", (F.col("at") * 4 + F.col("sign")).alias("at"), "sign")  # agents first at one instant
+    parts = ordered.repartitionByRange("conv", "at").sortWithinPartitions("conv", "at").mapInArrow(_automaton, "conv string, at bigint, map array<tinyint>").select("*", zero)
+    always = F.array(*[F.lit(BROKEN).cast("tinyint")] * 5).alias("map")
+    broken = signs.filter(F.col("sign") == X).select("conv").unionByName(speakers.filter("c and a and says").select("conv")).distinct().select("conv", F.lit(2**62).alias("at"), always, zero)
+    nothing = rows.groupBy("conv").agg(F.count("*").alias("n")).select("conv", F.lit(-(2**63) + 1).alias("at"), F.array(*[F.lit(k).cast("tinyint") for k in range(5)]).alias("map"), "n")
+    merged = parts.unionByName(broken).unionByName(nothing).groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("at", "map"))).alias("parts"), F.sum("n").alias("n"))
     state = F.aggregate("parts", F.lit(EMPTY).cast("tinyint"), lambda s, p: F.element_at(p["map"], s.cast("int") + 1))
-    return merged.select("conv", state.alias("state"))
+    return merged.select("conv", state.alias("state"), "n")
 
 
 REASON = {EMPTY: "empty", BROKEN: "broken", NO_CUSTOMER: "no_reply", WAITING: "no_reply"}
@@ -151,8 +156,8 @@ def rebuild(rows: DataFrame) -> DataFrame:
     `rows` as from `sided` with message_id, source_row and text kept.
     """
     speakers = written(speaker_sides(rows))
-    kept = verdicts(rows, speakers).filter(F.col("state") == ANSWERED).select("conv")
-    told = written(with_sides(rows, speakers).join(kept, "conv", "left_semi"))  # turns and notes both read it
+    kept = written(verdicts(rows, speakers).filter(F.col("state") == ANSWERED).select("conv", "n"))
+    told = written(join_hot(with_sides(rows, speakers), kept, "conv", "n"))  # turns and notes both read it
     said = told.filter(F.col("filled") & F.col("side").isin("customer", "agent")).withColumn("_rank", (F.col("side") == "customer").cast("int"))
     turns = numbered(said, "conv", ["at", "_rank", "keep_source_row", "keep_message_id"], "turn")
     notes = told.filter(F.col("side") == "system").withColumn("turn", F.lit(None).cast("bigint"))
