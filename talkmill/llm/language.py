@@ -331,7 +331,7 @@ def segmenter(spark, model: Scores):
         return pa.concat_arrays([found, nothing]).take(once.indices.fill_null(len(found)))
 
     cut.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    run = F.arrow_udf(cut, SEGMENTS)
+    run = F.arrow_udf(cut, SEGMENTS).asNondeterministic()  # else each column made of it would run it again
     return lambda c: run(c)
 
 

@@ -373,7 +373,7 @@ def kind_finder(spark, names: DataFrame):
         return pa.array([sum({1 << s[0] for s in f}) if f else 0 for f in found], pa.int32())
 
     kinds.__annotations__ = {"text": pa.Array, "return": pa.Array}
-    run = F.arrow_udf(kinds, "int")
+    run = F.arrow_udf(kinds, "int").asNondeterministic()  # else the filter on it would run it twice
     return lambda c: run(c)
 
 

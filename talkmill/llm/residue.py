@@ -259,7 +259,8 @@ def judged(message: Column, docs: Column, sources: Column) -> Column:
         return pa.array([kind_of(*x) for x in zip(message.to_pylist(), docs.to_pylist(), sources.to_pylist())], pa.string())
 
     judge.__annotations__ = {"message": pa.Array, "docs": pa.Array, "sources": pa.Array, "return": pa.Array}
-    return F.arrow_udf(judge, "string")(message, docs, sources)
+    # else a filter on the result would have it judged twice
+    return F.arrow_udf(judge, "string").asNondeterministic()(message, docs, sources)
 
 
 def residue(documents: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
