@@ -6,7 +6,8 @@ ends of fields. Records with other quotes (plain text in an unquoted field, doub
 field, all of them at once, with the ends of quoted fields looked up among the quote runs of odd length.
 
 Defined results: a null or blank record is `column_count`; a leading byte-order mark and a trailing carriage return are no
-data; records of unknown files are read with DEFAULT_SEP; repeated rows are judged alike; numbers beyond int load as null.
+data; records of unknown files are read with DEFAULT_SEP; repeated rows are judged alike; a turn beyond bigint
+loads as null and stands as written in turn_index_text, which is null for all others.
 """
 
 from __future__ import annotations
@@ -128,7 +129,7 @@ def load_records(lines: DataFrame, source_files: DataFrame, action_catalog: Data
     reason = F.when(F.col("_broken"), "quoting").when(~F.col("_full"), "column_count").when(wrong, "value")
     load = reason.isNull()
     typed = {
-        "item_id": F.nullif(trimmed("_item_id"), F.lit("")), "conversation_id": trimmed("_conversation_id"), "turn_index": turn.try_cast("int"), "user_message": F.col("_user_message"),
+        "item_id": F.nullif(trimmed("_item_id"), F.lit("")), "conversation_id": trimmed("_conversation_id"), "turn_index": turn.try_cast("bigint"), "turn_index_text": F.when((turn != "") & turn.try_cast("bigint").isNull(), turn), "user_message": F.col("_user_message"),
         "action": F.nullif(F.col("_act"), F.lit("")), "reply": F.nullif(trimmed("_reply"), F.lit("")), "labeler": F.nullif(trimmed("_labeler"), F.lit("")),
     }
     return rows.select(F.col("_key").alias(key), F.col("_source").alias("source_file"), *[F.when(load, c).alias(n) for n, c in typed.items()], reason.alias("reason"))
