@@ -2,15 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from talkmill.common import table
+from talkmill.common import norm_id, table
 from talkmill.operators import scrub as R
 
 
 def _rows(spark, sf_dir):
-    """All messages. One without a conversation id is a conversation of its own: nothing says what it belongs to."""
+    """All messages, by conversation whatever the spelling of its id. One without a conversation id is a conversation of its own: nothing says what it belongs to."""
     m = table(spark, sf_dir, "messages")
-    given = F.nullif(F.col("source_conversation_id"), F.lit(""))
-    own = F.coalesce(F.concat(F.lit("id:"), given), F.concat(F.lit("row:"), F.col("message_id").cast("string")))
+    own = F.coalesce(F.concat(F.lit("id:"), norm_id("source_conversation_id")), F.concat(F.lit("row:"), F.col("message_id").cast("string")))
     return m.select(own.alias("conversation"), F.col("message_id").alias("turn"), "speaker", "role", "text")
 
 

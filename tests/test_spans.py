@@ -19,6 +19,9 @@ def test_finders():
     assert cats("Flat 402, Sai Residency 500032") == [("402", "ADDRESS"), ("500032", "ADDRESS")] and cats("flat near the lake") == []
     assert cats("at MG road, ok", by_keyword=True) == [("road", "ADDRESS")]
     assert cats("Priya sharma said priya", roster=["Priya Sharma", " "]) == [("Priya sharma", "PERSON"), ("priya", "PERSON")]
+    assert cats("call +44 20 7946 0958 now") == [("+44 20 7946 0958", "PHONE")] and cats("44 20 7946 0958") == [("44 20 7946 0958", "ACCOUNT")]
+    assert cats("+4111 1111 1111 111") == [("+4111 1111 1111 111", "PHONE")] and cats("91 98765 43210 in a/c") == [("91 98765 43210", "PHONE")]
+    assert cats("plot 17, near main road; ok", by_keyword=True) == [("17", "ADDRESS"), ("main road", "ADDRESS"), ("plot 17", "ADDRESS"), ("road", "ADDRESS")]
     assert cats("") == [] and cats(None) == []
 
 
