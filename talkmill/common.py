@@ -142,6 +142,23 @@ def running(df: DataFrame, group: str, order: list[str], weight: Column, name: s
     return local.join(offsets, [group, "_run_part"]).withColumn(name, F.col("_run_before") + F.col("_run_local")).drop("_run_part", "_run_before", "_run_local", "_run_w")
 
 
+def with_earlier(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
+    """`df` range-partitioned by group and order, with `_part`, and in each part the k rows of the group before it, marked by `_ghost`.
+
+    A window over (group, _part) in this order then sees for every row what one over the group would, up to k rows back, and no
+    group is brought into one task. `order` should be unique within a group. Drop the ghosts afterwards.
+    """
+    from pyspark.sql import Window as W
+
+    laid = written(df.repartitionByRange(group, *order).withColumn("_part", F.spark_partition_id()))
+    last = laid.withColumn("_k", F.row_number().over(W.partitionBy(group, "_part").orderBy(*[F.desc(c) for c in order]))).filter(F.col("_k") <= k)
+    parts = laid.filter(F.col(group).isNotNull()).select(F.col(group).alias("_of"), F.col("_part").alias("_to")).distinct()  # no more than partitions for a group
+    near = last.join(parts, (F.col(group) == F.col("_of")) & (F.col("_to") > F.col("_part")))
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy(group, "_to").orderBy(F.desc("_part"), "_k"))).filter(F.col("_r") <= k)
+    ghosts = near.select(*df.columns, F.col("_to").alias("_part"), F.lit(True).alias("_ghost"))
+    return laid.withColumn("_ghost", F.lit(False)).unionByName(ghosts)
+
+
 def numbered(df: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """`df` with the place of each row within its group, from 0."""
     return running(df, group, order, F.lit(1), name)

@@ -229,6 +229,11 @@ def remap(c: Column | str, mapping: dict[str, str]) -> Column:
 
 
 # -- prompts and answers ---------------------------------------------------------------------------------------------
+def embedding_input(name: Column | str, description: Column | str) -> Column:
+    """`name: description`; a missing description is empty."""
+    return F.concat(col(name), F.lit(": "), F.coalesce(col(description), F.lit("")))
+
+
 def render(template: str, vocabulary: Column, conversation: Column, fewshot: Column) -> Column:
     """The three placeholders replaced one after the other, literally."""
     out = F.lit(template)

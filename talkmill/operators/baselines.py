@@ -89,7 +89,7 @@ def selected_rate(best: DataFrame) -> DataFrame:
 
 
 def text_classifier(train: DataFrame, *, text: str = "user_message", label: str = "action", reg: float = 0.01, features: int = 1 << 14):
-    """TF-IDF of one and two words (sublinear, length one) and a multinomial logistic regression; a single class raises."""
+    """TF-IDF of one and two words (raw counts of hashed grams, vectors of length one) and a multinomial logistic regression; a single class raises."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer, StringIndexer
@@ -100,6 +100,6 @@ def text_classifier(train: DataFrame, *, text: str = "user_message", label: str
     stages = [
         RegexTokenizer(inputCol="_text", outputCol="_one", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False, minTokenLength=1), NGram(n=2, inputCol="_one", outputCol="_two"),
         SQLTransformer(statement="SELECT *, concat(_one, _two) AS _grams FROM __THIS__"), HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=features), IDF(inputCol="_tf", outputCol="_idf"), Normalizer(inputCol="_idf", outputCol="features"),
-        StringIndexer(inputCol="_label", outputCol="label", handleInvalid="keep"), LogisticRegression(maxIter=25, regParam=reg, family="multinomial"),
+        StringIndexer(inputCol="_label", outputCol="label", handleInvalid="keep"), LogisticRegression(maxIter=100, regParam=reg, family="multinomial"),
     ]
     return Pipeline(stages=stages).fit(rows)

@@ -63,8 +63,11 @@ def ordered_union(parts: list[DataFrame], keys: list[str]) -> DataFrame:
 
 def out_of_order(rows: DataFrame, conversation: str, at: str, order: list[str]) -> DataFrame:
     """Rows whose time is before that of the row before them in their conversation."""
-    prev = F.lag(at).over(W.partitionBy(conversation).orderBy(*order))
-    return rows.withColumn("_p", prev).filter(F.col(at) < F.col("_p")).drop("_p")
+    from talkmill.common import with_earlier
+
+    laid = with_earlier(rows, conversation, order, 1)
+    prev = F.lag(at).over(W.partitionBy(conversation, "_part").orderBy(*order))
+    return laid.withColumn("_p", prev).filter(~F.col("_ghost") & (F.col(at) < F.col("_p"))).drop("_p", "_part", "_ghost")
 
 
 def tenant_counts(rows: DataFrame, tenant: str) -> DataFrame:
@@ -83,6 +86,12 @@ def attach(items: DataFrame, assignment: DataFrame, key: str, value: str) -> Dat
     return held.withColumn(value, F.coalesce(value, F.raise_error(F.concat(F.lit(f"no {value} for item "), F.col(key).cast("string"))).cast("string")))
 
 
+def time_of(df: DataFrame, column: str) -> Column:
+    """A temporal column as it is; a text column cast, so that it is ordered by time and not by its letters."""
+    temporal = dict(df.dtypes)[column].startswith(("timestamp", "date"))
+    return F.col(column) if temporal else F.col(column).try_cast("timestamp_ntz")
+
+
 def semi_count(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """How many keys of `a` are in `b`."""
     return a.select(key).distinct().join(b.select(key).distinct(), key, "left_semi").agg(F.count("*").alias("n"))
@@ -97,5 +106,5 @@ def turn_fields(turns: DataFrame, fields: DataFrame, key: str = "turn_id") -> Da
     """One annotation item for each turn and field; the field catalogue is small and checked for it."""
     from talkmill.common import lookup_rows
 
-    n = len(lookup_rows(fields, 1000))
+    n = len(lookup_rows(fields))
     return turns.crossJoin(F.broadcast(fields)).withColumn("item_id", F.concat_ws(":", F.col(key).cast("string"), "field_name")) if n else turns.limit(0).crossJoin(fields).withColumn("item_id", F.lit(None).cast("string"))

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BANDS = {"slot": (60.0, 70.0), "intent": (66.0, 76.0)}
 EFFECT_PP, ALPHA, CLEAR_RATE, RHO, P_RANK, TOLERANCE = 10.0, 0.05, 50.0, -0.9, 0.01, 1e-9
@@ -52,9 +53,45 @@ def effect_gate(row: DataFrame) -> DataFrame:
     return row.withColumn("passes", (F.col("diff_pp") >= EFFECT_PP - TOLERANCE) & (F.col("p") < ALPHA))
 
 
+def two_part_gate(compared: DataFrame | None, best_accuracy: float | None, ceiling: float | None, spark=None) -> DataFrame:
+    """(condition, verdict) and the gate: does the task need the better system (`compared`: one row with diff_pp and p, none if nothing
+    was compared), and is there headroom of EFFECT_PP points between its accuracy and the ceiling. What is not known is NOT_ESTABLISHED."""
+    known = lambda v: F.lit(v).cast("double")
+    spark = spark or compared.sparkSession
+    one = spark.range(1) if compared is None else compared.limit(1)
+    passes = F.lit(None).cast("boolean") if compared is None else (F.col("diff_pp") >= EFFECT_PP) & (F.col("p") < ALPHA)
+    rows = conditions(one, {"needed": (F.lit(compared is not None), passes), "headroom": (F.lit(best_accuracy is not None and ceiling is not None), (known(ceiling) - known(best_accuracy)) * 100 >= EFFECT_PP)})
+    return rows.unionByName(overall(rows).select(F.lit("gate").alias("condition"), "verdict"))
+
+
+def constraint_check(failures: DataFrame, constrained: str, free: str) -> DataFrame:
+    """Verdict on the constrained system from `failures` (system, failures): FAIL if any answer failed; else PASS, but NOT_ESTABLISHED
+    if the free system never failed either, or there is no constrained one."""
+    n = lambda s: F.max(F.when(F.col("system") == s, F.col("failures")))
+    return failures.agg(n(constrained).alias("_c"), n(free).alias("_f")).select(F.when(F.col("_c").isNull(), "NOT_ESTABLISHED").when(F.col("_c") > 0, "FAIL").when(F.col("_f") == 0, "NOT_ESTABLISHED").otherwise("PASS").alias("verdict"))
+
+
+def model_agreement(near: DataFrame) -> DataFrame:
+    """(model, n, clear_rate, top1, kappa): per model the rate of rows that clear, in percent; per pair of models, named a|b, how often
+    they have the same nearest, and κ of their decisions. `near` has key, model, nearest, clears; one row for each key and model."""
+    from talkmill.operators.stats import kappa_of
+
+    alone = near.groupBy("model").agg(F.count("*").alias("n"), (F.avg(F.col("clears").cast("double")) * 100).alias("clear_rate"))
+    side = lambda s: near.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("model", "nearest", "clears")])
+    both = side("a").join(side("b"), "key").filter("model_a < model_b")  # a few models
+    one = lambda c: F.count_if(c)
+    per = both.groupBy(F.concat_ws("|", "model_a", "model_b").alias("model")).agg(
+        F.count("*").alias("n"), (F.avg((F.col("nearest_a") == F.col("nearest_b")).cast("double")) * 100).alias("top1"), one(F.col("clears_a") == F.col("clears_b")).alias("_same"), one(F.col("clears_a")).alias("_a"), one(F.col("clears_b")).alias("_b")
+    )
+    n = F.col("n")
+    expected = (F.col("_a") * F.col("_b") + (n - F.col("_a")) * (n - F.col("_b"))) / (n * n)
+    pairs = per.select("model", "n", F.lit(None).cast("double").alias("clear_rate"), "top1", kappa_of(n, F.col("_same") / n, expected).alias("kappa"))
+    return alone.withColumn("top1", F.lit(None).cast("double")).withColumn("kappa", F.lit(None).cast("double")).unionByName(pairs)
+
+
 def seed_gate(rows: DataFrame) -> DataFrame:
-    """Per primary seed's verdict, UNSTABLE if seeds disagree. `rows` has seed, is_primary, passes."""
-    return rows.agg(F.when(F.bool_and("passes") != F.bool_or("passes"), "UNSTABLE").when(F.bool_or(F.col("is_primary") & F.col("passes")), "PASS").otherwise("FAIL").alias("verdict"))
+    """Per primary seed's verdict, UNSTABLE if seeds disagree, NOT_ESTABLISHED without it. `rows` has seed, is_primary, passes."""
+    return rows.agg(F.when(~F.coalesce(F.bool_or("is_primary"), F.lit(False)), "NOT_ESTABLISHED").when(F.bool_and("passes") != F.bool_or("passes"), "UNSTABLE").when(F.bool_or(F.col("is_primary") & F.col("passes")), "PASS").otherwise("FAIL").alias("verdict"))
 
 
 def agreement_gate(kappas: DataFrame, types: tuple[str, ...], threshold: float, least: int) -> DataFrame:
@@ -62,9 +99,24 @@ def agreement_gate(kappas: DataFrame, types: tuple[str, ...], threshold: float,
     return kappas.filter(F.col("label").isin(*types)).select("label", F.when((F.col("n_either") < least) | F.col("kappa").isNull(), "NOT_INTERPRETABLE").when(F.col("kappa") >= threshold - TOLERANCE, "MEETS").otherwise("BELOW").alias("verdict"))
 
 
+def _text_places(path: str, kind: T.DataType, allowed: set[str]) -> list[str]:
+    if path in allowed:
+        return []
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in _text_places(f"{path}.{f.name}", f.dataType, allowed)]
+    if isinstance(kind, T.ArrayType):
+        return _text_places(path, kind.elementType, allowed)
+    if isinstance(kind, T.MapType):
+        return _text_places(f"{path}.key", kind.keyType, allowed) + _text_places(f"{path}.value", kind.valueType, allowed)
+    return [] if isinstance(kind, (T.NumericType, T.BooleanType, T.NullType)) else [path]
+
+
 def safe_output(df: DataFrame, allowed: set[str]) -> DataFrame:
-    """Refuse a report whose string columns aren't on the list: free text never leaves by way of a report."""
-    bad = [c for c, t in df.dtypes if ("string" in t or "struct" in t) and c not in allowed]
+    """Refuse a report that may hold text outside of the list: free text never leaves by way of a report.
+
+    Nested values are walked; a place is named by its path (`a.b`), and a listed path allows all below it.
+    """
+    bad = [p for f in df.schema.fields for p in _text_places(f.name, f.dataType, allowed)]
     if bad:
         raise ValueError(f"columns may hold text: {bad}")
     return df

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import (
-    AMOUNT_PATTERN, CODE_MIXED_CUES, CORRECTION_CUES, FIELD_WORDS, HEDGE_CUES, LOCALITY_PATTERN, MEDIA_ORDER, STRATA, blank_to_null, cue_pattern, field_pattern, has_cue, media_kind, mentions, normalise_message, normalise_reply, rejection, script_flags, stable_hash, strata, word_count,
+    AMOUNT_PATTERN, CODE_MIXED_CUES, CORRECTION_CUES, FIELD_WORDS, HEDGE_CUES, LOCALITY_PATTERN, MEDIA_ORDER, STRATA, blank_to_null, cue_pattern, field_pattern, fields_mentioned, has_cue, media_kind, mentions, normalise_message, normalise_reply, rejection, script_flags, stable_hash, strata, word_count,
 )
 
 CLASS_FLOOR, MAX_CLASSES, MAX_SHARE, MAX_CHARS, MAX_WORDS = 10, 50, 0.5, 40, 6
@@ -96,7 +96,7 @@ def memory_dependence(items: DataFrame) -> DataFrame:
     by_msg = by_turn.groupBy("m").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count_if(F.col("a") >= 2).alias("same_turn"))
     many = (F.col("n") >= 2) & (F.col("lo") != F.col("hi"))
     return by_msg.agg(
-        F.count_if(F.col("n") >= 2).alias("repeated_groups"), F.count_if(many).alias("ambiguous_groups"), F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("ambiguous_items"),
+        F.count_if(F.col("n") >= 2).alias("repeated_groups"), F.coalesce(F.sum(F.when(F.col("n") >= 2, F.col("n"))), F.lit(0)).alias("repeated_items"), F.count_if(many).alias("ambiguous_groups"), F.coalesce(F.sum(F.when(many, F.col("n"))), F.lit(0)).alias("ambiguous_items"),
         F.count_if(many & (F.col("same_turn") > 0)).alias("same_turn_conflicts"), F.count_if(many & (F.col("same_turn") == 0)).alias("memory_groups"),
     )
 
@@ -156,18 +156,27 @@ def turns_of(df: DataFrame) -> DataFrame:
     """Scrubbed turns: conversation, order, role (`unknown` where none), speaker, text."""
     return df.select(
         "turn_id", F.col("conversation_id").alias("conversation"), F.col("turn_index").cast("bigint").alias("turn_index"), F.coalesce(blank_to_null("speaker_role"), F.lit("unknown")).alias("role"),
-        F.coalesce("speaker_id", F.lit("")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.col("provenance.source").alias("source"),
+        F.coalesce("speaker_id", F.lit("")).alias("speaker"), F.coalesce("text", F.lit("")).alias("text"), F.col("provenance.source").alias("source"), F.col("timestamp"),
     )
 
 
+def _laid(turns: DataFrame, k: int) -> tuple[DataFrame, W]:
+    """Turns laid out so that a conversation of any size is cut, and the window over their order."""
+    from talkmill.common import with_earlier
+
+    rows = with_earlier(turns.withColumn("_o", F.coalesce("turn_index", F.lit(2**31).cast("bigint"))), "conversation", ["_o", "turn_id"], k)
+    return rows, W.partitionBy("conversation", "_part").orderBy("_o", "turn_id")
+
+
 def in_context(turns: DataFrame, k: int = CONTEXT) -> DataFrame:
     """Each turn with its context: the k turns before it, and the distinct speakers of these and itself.
 
     A frame of fixed size: what is held for a row does not grow with its conversation.
     """
-    w = W.partitionBy("conversation").orderBy(F.coalesce("turn_index", F.lit(2**31).cast("bigint")), "turn_id")
+    rows, w = _laid(turns, k)
     seen = F.collect_list("speaker").over(w.rowsBetween(-k, 0))
-    return turns.withColumn("context", F.collect_list(F.struct("role", "text", "speaker")).over(w.rowsBetween(-k, -1))).withColumn("speakers", F.size(F.array_distinct(F.filter(seen, lambda s: s != ""))))
+    held = rows.withColumn("context", F.collect_list(F.struct("role", "text", "speaker")).over(w.rowsBetween(-k, -1))).withColumn("speakers", F.size(F.array_distinct(F.filter(seen, lambda s: s != ""))))
+    return held.filter(~F.col("_ghost")).drop("_ghost", "_part", "_o")
 
 
 def with_rejection(turns: DataFrame) -> DataFrame:
@@ -176,8 +185,9 @@ def with_rejection(turns: DataFrame) -> DataFrame:
 
 def census(turns: DataFrame, k: int = CONTEXT) -> DataFrame:
     """(section, name, n): totals, rejections, media kinds, strata, field mentions and code-mixed cues, zeros included."""
-    w = W.partitionBy("conversation").orderBy(F.coalesce("turn_index", F.lit(2**31).cast("bigint")), "turn_id").rowsBetween(-k, 0)
-    rows = with_rejection(turns.withColumn("_s", F.size(F.array_distinct(F.filter(F.collect_list("speaker").over(w), lambda s: s != "")))))
+    rows, w = _laid(turns, k)
+    rows = rows.withColumn("_s", F.size(F.array_distinct(F.filter(F.collect_list("speaker").over(w.rowsBetween(-k, 0)), lambda s: s != ""))))
+    rows = with_rejection(rows.filter(~F.col("_ghost")))
     ok = F.col("reason").isNull()
     rows = rows.withColumn("_strata", F.when(ok, strata("text", F.col("_s"))))
     aggs = {("total", "turns"): F.count("*"), ("total", "eligible"): F.count_if(ok)}
@@ -208,9 +218,9 @@ def cue_frequencies(turns: DataFrame) -> DataFrame:
     return _long(ok.select("text"), aggs)
 
 
-def field_word_frequencies(turns: DataFrame) -> DataFrame:
-    """(section, name, n): eligible turns holding each word of each field, bounded by letters as `mentions` has it, and the two other patterns; zeros included."""
-    ok = with_rejection(turns).filter("reason is null")
+def field_word_frequencies(turns: DataFrame, reason: str | None = None) -> DataFrame:
+    """(section, name, n): eligible turns (or those rejected for `reason`) holding each word of each field, bounded by letters as `mentions` has it, and the two other patterns; zeros included."""
+    ok = with_rejection(turns).filter(F.col("reason").eqNullSafe(F.lit(reason)))
     aggs = {(f, w): F.count_if(F.col("text").rlike(field_pattern((w,)))) for f in sorted(FIELD_WORDS) for w in FIELD_WORDS[f]}
     aggs |= {("pattern", "amount"): F.count_if(F.col("text").rlike(AMOUNT_PATTERN)), ("pattern", "locality_suffix"): F.count_if(F.col("text").rlike(LOCALITY_PATTERN))}
     return _long(ok.select("text"), aggs)
@@ -223,6 +233,28 @@ def script_profile(turns: DataFrame) -> DataFrame:
     return _long(ok, {("all", "turns"): F.count("*"), **{("script", k): F.count_if(f) for k, f in flags.items()}, ("script", "symbols_only"): F.count_if(flags["other_non_ascii"] & ~flags["non_ascii_letter"])})
 
 
+def script_shares(turns: DataFrame) -> DataFrame:
+    """(population, bucket, n, share): turns by script among all eligible ones and those that mention a field; null shares without turns."""
+    ok = with_rejection(turns).filter("reason is null").select("text", F.size(fields_mentioned("text")).alias("_f"))
+    each = ok.withColumn("population", F.explode(F.array_compact(F.array(F.lit("eligible"), F.when(F.col("_f") > 0, F.lit("field_mentioning"))))))
+    flags = script_flags("text")
+    counts = each.groupBy("population").agg(F.count("*").alias("n_all"), *[F.count_if(f).alias(k) for k, f in flags.items()])
+    both = ok.sparkSession.createDataFrame([("eligible",), ("field_mentioning",)], "population string").join(counts, "population", "left")
+    held = F.inline(F.array(*[F.struct(F.lit(k).alias("bucket"), F.coalesce(F.col(k), F.lit(0)).alias("n")) for k in flags]))
+    return both.select("population", "n_all", held).select("population", "bucket", "n", F.round(F.try_divide("n", "n_all"), 4).alias("share"))
+
+
+def cue_diagnostics(turns: DataFrame) -> DataFrame:
+    """(section, name, n) over eligible turns: how many there are, how many cue forms of each kind matched any, and whether none did."""
+    ok = with_rejection(turns).filter("reason is null").select("text")
+    kinds = {"correction": CORRECTION_CUES, "hedge": HEDGE_CUES, "code_mixed": CODE_MIXED_CUES}
+    one = ok.agg(F.count("*").alias("n"), *[F.coalesce(F.max(F.col("text").rlike(cue_pattern((c,))).cast("bigint")), F.lit(0)).alias(f"{k}{j}") for k, cues in kinds.items() for j, c in enumerate(cues)])
+    met = {k: sum((F.col(f"{k}{j}") for j in range(len(cues))), F.lit(0).cast("bigint")) for k, cues in kinds.items()}
+    none = ((met["correction"] + met["hedge"]) == 0).cast("bigint")
+    rows = [("turns", "eligible", F.col("n")), *[("forms", k, m) for k, m in met.items()], ("cue", "no_cue_matched", none)]
+    return one.select(F.inline(F.array(*[F.struct(F.lit(s).alias("section"), F.lit(n).alias("name"), c.cast("bigint").alias("n")) for s, n, c in rows])))
+
+
 def short_turns(turns: DataFrame) -> DataFrame:
     """(section, name, n): turns rejected as too short, by cue, number of words and script."""
     short = with_rejection(turns).filter("reason = 'too_short'").select("text")
@@ -236,8 +268,22 @@ def conversation_counts(turns: DataFrame) -> DataFrame:
     return per.groupBy("conversation").agg(F.sum("n").alias("turns"), F.sum("ok").alias("eligible"), F.array_join(F.array_sort(F.collect_list(F.concat("role", F.lit("="), F.col("n").cast("string")))), ",").alias("roles"))
 
 
+def conversation_times(turns: DataFrame) -> DataFrame:
+    """Per conversation: first and last written time, and its media kinds with their counts."""
+    from talkmill.functions.dates import parsed
+
+    at = parsed(F.col("timestamp"))
+    per = turns.groupBy("conversation", media_kind("text").alias("kind")).agg(F.count("*").alias("n"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    kinds = F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind").isNotNull(), F.concat("kind", F.lit("="), F.col("n").cast("string"))))), ",")
+    show = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return per.groupBy("conversation").agg(show(F.min("lo")).alias("first"), show(F.max("hi")).alias("last"), kinds.alias("kinds"))
+
+
 def inversions(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Per group: how often a value is above the one before it, and whether the values fall strictly."""
-    prev = F.lag(value).over(W.partitionBy(*by).orderBy(*order))
-    held = rows.withColumn("_p", prev)
+    from talkmill.common import with_earlier
+
+    laid = with_earlier(rows.withColumn("_g", F.struct(*by)), "_g", order, 1)
+    prev = F.lag(value).over(W.partitionBy("_g", "_part").orderBy(*order))
+    held = laid.withColumn("_p", prev).filter(~F.col("_ghost"))
     return held.groupBy(*by).agg(F.count_if(F.col(value) > F.col("_p")).alias("inversions"), F.coalesce(F.bool_and(F.when(F.col("_p").isNotNull(), F.col(value) < F.col("_p"))), F.lit(True)).alias("strictly_decreasing"))

@@ -1,4 +1,4 @@
-"""Agreement of the two busiest annotators. Labels are taken as written, trimmed; those outside the vocabulary are unlabelled."""
+"""Agreement of two annotators, and of every pair of them. Labels are taken as written, trimmed; those outside the vocabulary are unlabelled."""
 
 from pyspark.sql import functions as F
 

@@ -15,14 +15,16 @@ def ag9_context(spark, sf_dir):
 
 
 def gt4_gate(spark, sf_dir):
-    """Class floor, memory dependence, duplicates across splits, labeler coverage."""
+    """Class floor, items that depend on more than their message, duplicates across splits or with the pilot's conversations, labeler coverage."""
     items = _I(spark, sf_dir)
     classes = P.action_distribution(items).agg(F.count_if("below_floor").alias("below"), F.count("*").alias("classes"))
     row = classes.crossJoin(P.memory_dependence(items)).crossJoin(P.duplicate_report(items, "user_message", "split").select("cross_split_groups"))
-    row = row.crossJoin(items.agg(F.count("labeler").alias("labelled_by"), F.count("*").alias("n")))  # single rows
+    pilot = table(spark, sf_dir, "syn_020").select(F.col("conversation_id").alias("_c")).filter("_c is not null").distinct()
+    row = row.crossJoin(items.agg(F.count("labeler").alias("labelled_by"), F.count("*").alias("n"))).crossJoin(items.join(pilot, F.col("conversation_id") == F.col("_c"), "left_semi").agg(F.count("*").alias("overlap")))  # single rows
+    enough = F.col("ambiguous_items") >= 30  # a shortfall of this lower bound says nothing
     parts = {
-        "class_floor": (F.col("classes") > 0, F.col("below") == 0), "memory": (F.col("memory_groups") >= 30, F.col("memory_groups") >= 30),
-        "duplicates": (F.lit(True), F.col("cross_split_groups") == 0), "coverage": (F.col("n") > 0, F.col("labelled_by") == F.col("n")),
+        "class_floor": (F.lit(True), F.col("below") == 0), "memory": (enough, enough),
+        "duplicates": (F.lit(True), (F.col("cross_split_groups") == 0) & (F.col("overlap") == 0)), "coverage": (F.lit(True), (F.col("n") > 0) & (F.round(F.col("labelled_by") / F.col("n"), 4) >= 1.0)),
     }
     rows = gates.conditions(row, parts)
     return rows.unionByName(gates.overall(rows).select(F.lit("gate").alias("condition"), "verdict"))
@@ -60,7 +62,7 @@ _GROUPS = f"g AS (SELECT {_M} AS k, count(*) AS n, min(split) AS lo, max(split)
 _CONTEXT = "c AS (SELECT row, conversation_id, (coalesce(sum(length(coalesce(user_message, '')) + length(coalesce(reply, ''))) OVER (PARTITION BY conversation_id ORDER BY coalesce(turn_index, row), row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(coalesce(user_message, '')))::BIGINT AS context_chars FROM i WHERE conversation_id IS NOT NULL)"
 _MEMORY = f"""bt AS (SELECT {_M} AS m, turn_index, count(*) AS n, count(DISTINCT action) AS a, min(action) AS lo, max(action) AS hi FROM i WHERE action IS NOT NULL GROUP BY 1, 2),
 bm AS (SELECT m, sum(n) AS n, min(lo) AS lo, max(hi) AS hi, count_if(a >= 2) AS st FROM bt GROUP BY 1),
-mem AS (SELECT count_if(n >= 2)::BIGINT AS repeated_groups, count_if(n >= 2 AND lo <> hi)::BIGINT AS ambiguous_groups, coalesce(sum(CASE WHEN n >= 2 AND lo <> hi THEN n END), 0)::BIGINT AS ambiguous_items,
+mem AS (SELECT count_if(n >= 2)::BIGINT AS repeated_groups, coalesce(sum(CASE WHEN n >= 2 THEN n END), 0)::BIGINT AS repeated_items, count_if(n >= 2 AND lo <> hi)::BIGINT AS ambiguous_groups, coalesce(sum(CASE WHEN n >= 2 AND lo <> hi THEN n END), 0)::BIGINT AS ambiguous_items,
   count_if(n >= 2 AND lo <> hi AND st > 0)::BIGINT AS same_turn_conflicts, count_if(n >= 2 AND lo <> hi AND st = 0)::BIGINT AS memory_groups FROM bm)"""
 _SAFE = "(count(DISTINCT action) <= 50 AND count(DISTINCT action) / count(*) <= 0.5 AND coalesce(bool_and(length(action) <= 40 AND len(regexp_extract_all(action, '[^\\s\\pZ]+')) <= 6 AND regexp_matches(action, '^[0-9A-Za-z][0-9A-Za-z _.\\-/]*$')), true))"
 
@@ -85,9 +87,9 @@ ORACLES = {
     "ag9_context": f"WITH {ITEMS}, {_CONTEXT} SELECT * FROM c",
     "ag9_fit": f"WITH {ITEMS}, {_CONTEXT}, k AS (SELECT floor(context_chars / 4.0)::BIGINT AS k FROM c), b AS ({block('k', 'k')}) SELECT *, (SELECT count_if(k <= 32000) FROM k)::BIGINT AS fit_32k, (SELECT count_if(k <= 64000) FROM k)::BIGINT AS fit_64k FROM b",
     "gt4_gate": f"""WITH {ITEMS}, {_MEMORY}, {_GROUPS}, a AS (SELECT count(*) AS n FROM i WHERE action IS NOT NULL GROUP BY action),
-      v AS (SELECT 'class_floor' AS condition, CASE WHEN (SELECT count(*) FROM a) = 0 THEN 'NOT_ESTABLISHED' WHEN (SELECT count_if(n < 10) FROM a) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict
-      UNION ALL SELECT 'memory', CASE WHEN (SELECT memory_groups FROM mem) >= 30 THEN 'PASS' ELSE 'NOT_ESTABLISHED' END
-      UNION ALL SELECT 'duplicates', CASE WHEN (SELECT count_if(lo <> hi) FROM g) = 0 THEN 'PASS' ELSE 'FAIL' END
-      UNION ALL SELECT 'coverage', CASE WHEN count(*) = 0 THEN 'NOT_ESTABLISHED' WHEN count(labeler) = count(*) THEN 'PASS' ELSE 'FAIL' END FROM i)
+      v AS (SELECT 'class_floor' AS condition, CASE WHEN (SELECT count_if(n < 10) FROM a) = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict
+      UNION ALL SELECT 'memory', CASE WHEN (SELECT ambiguous_items FROM mem) >= 30 THEN 'PASS' ELSE 'NOT_ESTABLISHED' END
+      UNION ALL SELECT 'duplicates', CASE WHEN (SELECT count_if(lo <> hi) FROM g) = 0 AND (SELECT count(*) FROM i WHERE conversation_id IN (SELECT conversation_id FROM syn_020)) = 0 THEN 'PASS' ELSE 'FAIL' END
+      UNION ALL SELECT 'coverage', CASE WHEN count(*) > 0 AND round(count(labeler) / count(*), 4) >= 1 THEN 'PASS' ELSE 'FAIL' END FROM i)
       SELECT * FROM v UNION ALL SELECT 'gate', CASE WHEN bool_or(verdict = 'FAIL') THEN 'FAIL' WHEN bool_or(verdict = 'NOT_ESTABLISHED') THEN 'NOT_ESTABLISHED' ELSE 'PASS' END FROM v""",
 }

@@ -107,7 +107,7 @@ _SINGULAR = f"CASE WHEN x IN ({_NEVER}) OR length(x) <= 3 THEN x WHEN regexp_mat
 _N0, _N1 = "lower(trim(name))", f"array_to_string({_tokens('name')}, ' ')"
 _N2 = f"array_to_string(list_filter(list_transform({_tokens('name')}, lambda x: {_SINGULAR}), lambda x: x NOT IN ({_STOP})), ' ')"
 _P = "p AS (SELECT p_partkey AS k, p_brand AS owner, concat_ws('_', p_name, upper(p_type[1]) || lower(p_type[2:]), 'sizes' || (p_size % 7)) AS name FROM part), q AS (SELECT * FROM p WHERE k % 2 = 0), r AS (SELECT * FROM p WHERE k % 2 = 1)"
-_K = "p AS (SELECT p_partkey AS k, 'slot' AS kind, concat_ws('_', p_name, (p_size % 9)::VARCHAR) AS name FROM part UNION ALL SELECT p_partkey, 'intent', concat_ws(' ', p_type, (p_size % 23)::VARCHAR) FROM part), q AS (SELECT * FROM p WHERE k % 2 = 0), r AS (SELECT * FROM p WHERE k % 2 = 1 AND k % 3 = 0)"
+_K = "p AS (SELECT p_partkey AS k, 'slot' AS kind, concat_ws('_', p_name, (p_size % 9)::VARCHAR) AS name FROM part UNION ALL SELECT p_partkey, 'intent', concat_ws(' ', p_type, (p_size % 23)::VARCHAR) FROM part), q AS (SELECT * FROM p WHERE k % 2 = 0), r AS (SELECT * FROM p WHERE k % 2 = 1)"
 _RATES = "rates AS (" + " UNION ALL ".join(
     f"SELECT kind, '{f}' AS form, '{u}' AS unit, count(*) AS n, count_if(hit)::BIGINT AS hits, count_if(hit) / count(*) * 100 AS rate FROM (SELECT {d} kind, name, (kind, {e}) IN (SELECT (kind, {e}) FROM r) AS hit FROM q) GROUP BY kind"
     for f, e in (("N0", _N0), ("N1", _N1), ("N2", _N2)) for u, d in (("instances", ""), ("unique", "DISTINCT"))
@@ -115,14 +115,14 @@ _RATES = "rates AS (" + " UNION ALL ".join(
 _E = "e AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k FROM embeddings), v AS (SELECT label::VARCHAR AS owner, (k // 6)::INT AS position, (k % 6)::INT AS variant, vec_id::VARCHAR AS name, embedding::DOUBLE[] AS vector FROM e), x AS (SELECT a.owner, a.position, b.variant, a.name AS original, b.name AS renamed, list_cosine_similarity(a.vector, b.vector) AS cosine FROM v a JOIN v b USING (owner, position) WHERE a.variant = 0 AND b.variant > 0)"
 
 ORACLES = {
-    "fn1_names": f"WITH {_P} SELECT k, {_N0} AS n0, {_N1} AS n1, {_N2} AS n2 FROM q",
+    "fn1_names": f"WITH {_P} SELECT k, {_N0} AS n0, {_N1} AS n1, {_N2} AS n2 FROM p",
     "jn1_flags": f"WITH {_P} SELECT k, {_N2} AS key, {_N2} IN (SELECT {_N2} FROM r) AS matched FROM q",
     "jn1_rates": f"WITH {_K}, {_RATES} SELECT * FROM rates",
     "jn2_evidence": f"WITH {_P}, h AS (SELECT {_N2} AS key, array_to_string(list_sort(list(DISTINCT owner)), ',') AS owners FROM r GROUP BY 1) SELECT key, n, coalesce(owners, '') AS owners FROM (SELECT {_N2} AS key, count(*) AS n FROM q GROUP BY 1) LEFT JOIN h USING (key)",
     "jn3_seen": "WITH p AS (SELECT p_partkey AS k, concat_ws('/', p_brand, p_type) AS owner FROM part) SELECT DISTINCT owner, owner IN (SELECT owner FROM p WHERE k % 2 = 1) AS seen FROM p WHERE k % 2 = 0",
     "jn20_shared": f"WITH {_P} SELECT * FROM (SELECT {_N2} AS key, count(*) AS instances, count(DISTINCT owner) AS query_owners FROM q GROUP BY 1) JOIN (SELECT {_N2} AS key, count(DISTINCT owner) AS reference_owners FROM r GROUP BY 1) USING (key)",
-    "jn12_tokens": f"""WITH p AS (SELECT p_partkey AS k, concat_ws(' ', p_name, p_type, p_brand, p_size::VARCHAR) AS name FROM part), q AS (SELECT DISTINCT name, list_distinct({_tokens('name')}) AS t FROM p WHERE k % 20 = 0), r AS (SELECT DISTINCT name, list_distinct({_tokens('name')}) AS t FROM p WHERE k % 20 <> 0),
-      s AS (SELECT q.name, r.name AS nearest, len(list_intersect(q.t, r.t)) / len(list_distinct(list_concat(q.t, r.t))) AS score FROM q, r), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, nearest) AS k FROM s) SELECT name, nearest, score FROM b WHERE k = 1""",
+    "jn12_tokens": f"""WITH p AS (SELECT p_partkey AS k, concat_ws(' ', p_name, p_type, p_brand, p_size::VARCHAR) AS name FROM part), q AS (SELECT DISTINCT name, list_distinct({_tokens('name')}) AS t FROM p WHERE k % 20 = 0), r AS (SELECT name, list_distinct({_tokens('name')}) AS t, count(DISTINCT k) AS rows FROM p GROUP BY name),
+      s AS (SELECT q.name, r.name AS nearest, len(list_intersect(q.t, r.t)) / len(list_distinct(list_concat(q.t, r.t))) AS score FROM q, r WHERE q.name <> r.name OR r.rows > 1), b AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, nearest) AS k FROM s) SELECT name, nearest, score FROM b WHERE k = 1""",
     "jn11_cosine": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS nearest, round(list_cosine_similarity(a.v, b.v), 12) AS c FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, nearest) AS k FROM s) SELECT vec_id, nearest, round(c, 4) AS cosine FROM b WHERE k = 1",
     "jn9_pairs": f"WITH {_E} SELECT owner, position, variant, original, renamed, round(cosine, 6) AS cosine FROM x",
     "jn10_problems": f"WITH {_E}, o AS (SELECT owner, count(*) AS n FROM v WHERE variant = 0 GROUP BY 1), g AS (SELECT owner, variant, count(*) AS m FROM v WHERE variant > 0 GROUP BY 1, 2), w AS (SELECT owner, variant, n FROM o, (SELECT DISTINCT variant FROM g)) SELECT variant, owner, CASE WHEN n IS NULL THEN 'unknown owner' WHEN m IS NULL THEN 'missing owner' ELSE 'unequal counts' END AS problem FROM w FULL JOIN g USING (owner, variant) WHERE n IS NULL OR m IS NULL OR n <> m",

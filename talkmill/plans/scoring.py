@@ -170,7 +170,7 @@ ORACLES = {
     "st7_mcnemar": f"WITH g AS (SELECT b.range AS b, c.range AS c, b.range + c.range AS n, least(b.range, c.range) AS k FROM range(0, 41) c, range(0, 41) b WHERE b.range <= c.range) SELECT b, c, round(CASE WHEN n = 0 THEN 1.0 ELSE {_TAIL} END, 8) AS p FROM g",
     "st11_wilcoxon": None,
     "wn9_inversions": "WITH p AS (SELECT o_custkey, o_totalprice AS v, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS q FROM orders) SELECT o_custkey, coalesce(count_if(v > q), 0)::BIGINT AS inversions, coalesce(bool_and(CASE WHEN q IS NOT NULL THEN v < q END), true) AS strictly_decreasing FROM p GROUP BY 1",
-    "gt7_seeds": f"WITH {_RUNS} SELECT CASE WHEN bool_and(accuracy > 0.5) <> bool_or(accuracy > 0.5) THEN 'UNSTABLE' WHEN bool_or(seed = 0 AND accuracy > 0.5) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM be",
+    "gt7_seeds": f"WITH {_RUNS} SELECT CASE WHEN NOT coalesce(bool_or(seed = 0), false) THEN 'NOT_ESTABLISHED' WHEN bool_and(accuracy > 0.5) <> bool_or(accuracy > 0.5) THEN 'UNSTABLE' WHEN bool_or(seed = 0 AND accuracy > 0.5) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM be",
 }
 _Z = "1.96"
 ORACLES["ag24_accuracy"] = f"{_ALL}, a AS (SELECT system, count(*) AS n, count_if(correct)::BIGINT AS correct, count_if(correct)::DOUBLE / count(*) AS accuracy FROM sc GROUP BY 1) SELECT *, greatest(0, (accuracy + {_Z} * {_Z} / (2 * n) - {_Z} * sqrt(accuracy * (1 - accuracy) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)) AS lo, least(1, (accuracy + {_Z} * {_Z} / (2 * n) + {_Z} * sqrt(accuracy * (1 - accuracy) / n + {_Z} * {_Z} / (4 * n * n))) / (1 + {_Z} * {_Z} / n)) AS hi FROM a"
