@@ -107,6 +107,12 @@ def annotator_orders(blocks: DataFrame, names: list[str], seed: str | int, *, ke
     return held.select("annotator", key, F.col("place").cast("bigint").alias("place"))
 
 
+def orders_report(orders: DataFrame, *, key: str = "key") -> DataFrame:
+    """One row: how many annotators there are and whether their orders are all distinct (with one block or too many annotators they cannot be)."""
+    marks = orders.groupBy("annotator").agg(F.sum(F.xxhash64("place", key).cast("decimal(38,0)")).alias("m"))
+    return marks.agg(F.count("*").alias("annotators"), (F.count_distinct("m") == F.count("*")).alias("orders_distinct"))
+
+
 def few_shot(items: DataFrame, k: int, seed: str | int, *, key: str = "row", label: str = "action") -> DataFrame:
     """Up to k examples: one of each class in class order, then at random, in a seeded order of their own: (key, label, place)."""
     rows = items.filter(F.col(label).isNotNull()).select(key, label).withColumn("_h", hash_key(seed, key))

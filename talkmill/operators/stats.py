@@ -55,6 +55,33 @@ def kappa(pairs: DataFrame, a: str = "label_a", b: str = "label_b") -> DataFrame
     return out.select("n", po.alias("observed"), pe.alias("expected"), kappa_of(n, po, pe).alias("kappa"))
 
 
+def kappa_by(pairs: DataFrame, by: list[str], a: str = "label_a", b: str = "label_b") -> DataFrame:
+    """`kappa` for each group: from the label counts of a group, of which there are labels x labels."""
+    cells = pairs.groupBy(*by, F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("c"))
+    total = cells.groupBy(*by).agg(F.sum("c").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("c")).otherwise(0)).alias("same"))
+    rows, cols = cells.groupBy(*by, F.col("a").alias("l")).agg(F.sum("c").alias("ra")), cells.groupBy(*by, F.col("b").alias("l")).agg(F.sum("c").alias("cb"))
+    chance = rows.join(cols, [*by, "l"]).groupBy(*by).agg(F.sum(F.col("ra") * F.col("cb")).alias("x"))
+    n = F.col("n")
+    po, pe = F.col("same") / n, F.coalesce("x", F.lit(0)) / (n * n)
+    return total.join(chance, by, "left").select(*by, "n", po.alias("observed"), pe.alias("expected"), kappa_of(n, po, pe).alias("kappa"))
+
+
+def annotator_pairs(sheets: DataFrame) -> DataFrame:
+    """Items that two annotators both labelled, for every two of them. `sheets` has item_id, annotator_id, conversation_id, label; one
+    row for each item and annotator, so an item has no more rows than there are annotators."""
+    side = lambda s: sheets.filter("label is not null").select("item_id", *[F.col(c).alias(f"{c.split('_')[0]}_{s}") for c in ("annotator_id", "conversation_id", "label")])
+    both = side("a").join(side("b"), "item_id").filter("annotator_a < annotator_b")
+    return both.filter(F.coalesce("conversation_a", F.lit("")) == F.coalesce("conversation_b", F.lit("")))
+
+
+def category_kappas_by(pairs: DataFrame, by: list[str], labels: tuple[str, ...] = LABELS, a: str = "label_a", b: str = "label_b") -> DataFrame:
+    """`category_kappas` for each group."""
+    counts = pairs.groupBy(*by).agg(F.count("*").alias("n"), *[x for k, l in enumerate(labels) for x in (F.count_if(F.col(a) == l).alias(f"a{k}"), F.count_if(F.col(b) == l).alias(f"b{k}"), F.count_if((F.col(a) == l) & (F.col(b) == l)).alias(f"ab{k}"))])
+    long = counts.select(*by, "n", F.inline(F.array(*[F.struct(F.lit(l).alias("label"), F.col(f"a{k}").alias("n_a"), F.col(f"b{k}").alias("n_b"), F.col(f"ab{k}").alias("n_both")) for k, l in enumerate(labels)])))
+    n, x, y, z = F.col("n"), F.col("n_a"), F.col("n_b"), F.col("n_both")
+    return long.select(*by, "label", "n_a", "n_b", (x + y - z).alias("n_either"), "n_both", kappa_of(n, (n - x - y + 2 * z) / n, (x * y + (n - x) * (n - y)) / (n * n)).alias("kappa"))
+
+
 def category_kappas(pairs: DataFrame, labels: tuple[str, ...] = LABELS, a: str = "label_a", b: str = "label_b") -> DataFrame:
     """One against the rest: label, n_a, n_b, n_either, n_both, κ; one pass of conditional counts."""
     counts = pairs.agg(F.count("*").alias("n"), *[x for k, l in enumerate(labels) for x in (F.count_if(F.col(a) == l).alias(f"a{k}"), F.count_if(F.col(b) == l).alias(f"b{k}"), F.count_if((F.col(a) == l) & (F.col(b) == l)).alias(f"ab{k}"))])
@@ -274,11 +301,7 @@ def value_agreement(both: DataFrame) -> DataFrame:
 def agreement_report(both: DataFrame, source: str | None = None) -> DataFrame:
     """Per source subset and combined: n, percent agreement, κ."""
     pairs = both.filter("state = 'both'")
-    parts = [kappa(pairs).withColumn("subset", F.lit("combined"))]
-    if source:
-        for r in lookup_rows(pairs.select(source).filter(F.col(source).isNotNull()).distinct().orderBy(source), 100):
-            parts.append(kappa(pairs.filter(F.col(source) == r[0])).withColumn("subset", F.lit(r[0])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    out = kappa(pairs).withColumn("subset", F.lit("combined"))
+    if not source:
+        return out
+    return out.unionByName(kappa_by(pairs.filter(F.col(source).isNotNull()).withColumn("subset", F.col(source)), ["subset"]))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talkmill.plans import agreement, general, items, names, privacy, sampling, scoring, turns
+from talkmill.plans import agreement, files, general, items, names, privacy, reports, sampling, scoring, turns
 
-MODULES = [general, items, turns, names, agreement, scoring, sampling, privacy]
+MODULES = [general, items, turns, names, agreement, scoring, sampling, privacy, reports, files]
 
 
 def queries() -> dict:

@@ -58,9 +58,9 @@ def delimiter_for(path: str, override: str | None = None) -> str:
 
 
 def read_header(spark: SparkSession, path: str, sep: str | None = None) -> list[str]:
-    line = spark.read.text(path).limit(1).collect()
-    cells = (line[0][0] if line else "").lstrip("﻿").rstrip("\r")
-    return [c.strip().strip('"') for c in cells.split(sep or delimiter_for(path))]
+    """The names in the first record; quoted names may hold the separator."""
+    first = spark.read.option("multiLine", True).option("escape", '"').option("quote", '"').option("sep", sep or delimiter_for(path)).csv(path).limit(1).collect()
+    return [(c or "").lstrip("﻿").strip() for c in first[0]] if first else []
 
 
 def strings(names: list[str]) -> T.StructType:
@@ -84,7 +84,7 @@ def with_row_numbers(df: DataFrame, first: int = 0, name: str = "source_row") ->
 
 def read_json_rows(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """A list of flat objects, or an object with exactly one list: one row each, the named fields as text."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -105,6 +105,30 @@ def read_json_rows(spark: SparkSession, path: str, names: list[str]) -> DataFram
     return text.mapInPandas(rows, T.StructType([T.StructField("source_row", T.IntegerType()), *strings(names).fields]))
 
 
+def read_items(spark: SparkSession, path: str, columns: ColumnMap, splits: DataFrame | None = None, sep: str | None = None) -> DataFrame:
+    """Labelled items of a sheet: rows numbered from 2 in the order of files and records, blank cells null, item_id from the row where
+    missing, a turn that is no number null; with `splits` (key, value) the split of each item, where one without raises."""
+    from talkmill.common import numbered
+    from talkmill.functions.text import blank_to_null
+    from talkmill.operators.extract import attach
+
+    raw = read_csv(spark, path, sep)
+    held = columns.apply(raw).select("*", F.col("_metadata.file_name").alias("_file")).withColumn("_id", F.monotonically_increasing_id()).withColumn("_all", F.lit("a"))
+    held = numbered(held, "_all", ["_file", "_id"], "_n").withColumn("row", (F.col("_n") + 2).cast("int"))
+    names = ("conversation_id", "user_message", "action", "reply", "labeler")
+    out = held.select("row", F.coalesce(blank_to_null("item_id"), F.concat(F.lit("row-"), F.col("row").cast("string"))).alias("item_id"), F.trim("turn_index").try_cast("int").alias("turn_index"), *[blank_to_null(c).alias(c) for c in names])
+    return out if splits is None else attach(out, splits.select(F.col("key").alias("item_id"), F.col("value").alias("split")), "item_id", "split")
+
+
+def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
+    """(name, columns, rows) of tables or views of the catalogue."""
+    out = None
+    for n in names:
+        part = spark.table(n).agg(F.lit(n).alias("name"), F.lit(len(spark.catalog.listColumns(n))).cast("bigint").alias("columns"), F.count("*").alias("rows"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 
 
@@ -183,7 +207,7 @@ def read_services(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
 
 def read_map(spark: SparkSession, path: str, allowed: tuple[str, ...] | None = None) -> DataFrame:
     """(key, value) of a JSON object of strings; a value outside `allowed` raises when read."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     out = text.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
     if allowed:
         out = out.withColumn("value", F.when(F.col("value").isin(*allowed), F.col("value")).otherwise(F.raise_error(F.concat(F.lit("not allowed: "), F.coalesce("value", F.lit("null")))).cast("string")))
@@ -192,7 +216,7 @@ def read_map(spark: SparkSession, path: str, allowed: tuple[str, ...] | None = N
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """Distinct ids of a manifest: a list of strings or objects, or an object with one such list; under item_id, id or conversation_id."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     item = "struct<item_id:string,id:string,conversation_id:string>"
     v = F.col("value")
     lists = F.coalesce(F.from_json(v, "array<string>"), F.element_at(F.map_values(F.from_json(v, "map<string,array<string>>")), 1))

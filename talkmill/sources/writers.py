@@ -14,6 +14,15 @@ from talkmill.operators.sampling import hash_key
 SHEET_COLUMNS = ("item_id", "conversation_id", "turn_index", "field_name", "field_type", "turn_text", "label", "value", "notes")
 
 
+#: Cells come back as they were: no blank is cut, quotes are doubled.
+AS_IS = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def planned(paths: list[str], root: str) -> list[tuple[str, bool]]:
+    """A dry run: where each would be written, and whether something is there already."""
+    return [(p := contained(x, root), os.path.exists(p)) for x in paths]
+
+
 def contained(path: str, root: str) -> str:
     """The path if it lies under the root once links are followed."""
     p, r = Path(os.path.realpath(path)), Path(os.path.realpath(root))
@@ -32,13 +41,16 @@ def apart(inputs: str, outputs: str) -> None:
 def write_csv(df: DataFrame, path: str, root: str, keys: list[str], single: bool = True) -> None:
     """One globally ordered CSV; `single` brings it into one file, which only exports of bounded size should ask for."""
     out = df.orderBy(*keys)
-    (out.coalesce(1) if single else out).write.mode("errorifexists").option("header", True).option("escape", '"').csv(contained(path, root))
+    (out.coalesce(1) if single else out).write.mode("errorifexists").options(**AS_IS).csv(contained(path, root))
+
 
+def write_conversations(df: DataFrame, path: str, root: str, conversation: str = "conversation_id", folders: int | None = None) -> None:
+    """JSON lines by conversation. Rows of a conversation are brought together by a range partition, so a large one may span files.
 
-def write_conversations(df: DataFrame, path: str, root: str, conversation: str = "conversation_id") -> None:
-    """JSON lines by conversation. Rows of a conversation are brought together by a range partition, so a large one may span files."""
-    held = df.withColumn("_c", F.col(conversation))
-    held.repartitionByRange("_c").sortWithinPartitions("_c").write.mode("errorifexists").partitionBy("_c").json(contained(path, root))
+    Each has a folder of its own; with `folders` that many are shared, by hash, as a file system bears no folder for each of millions.
+    """
+    held = df.withColumn("_c", F.pmod(F.xxhash64(conversation), F.lit(folders)) if folders else F.col(conversation))
+    held.repartitionByRange("_c", conversation).sortWithinPartitions("_c", conversation).write.mode("errorifexists").partitionBy("_c").json(contained(path, root))
 
 
 def write_document(document: dict, path: str, root: str) -> None:
@@ -49,10 +61,17 @@ def write_document(document: dict, path: str, root: str) -> None:
         json.dump(document, f, indent=2, sort_keys=True, ensure_ascii=False)
 
 
-def write_audit(audit: DataFrame, path: str, root: str) -> None:
-    """Replacements as JSON lines after a warning record. The file holds originals and is for restricted storage only."""
+def write_audit(audit: DataFrame, path: str, root: str, ids: DataFrame | None = None, speakers: DataFrame | None = None) -> None:
+    """Replacements as JSON lines after a warning record, and the maps of ids and speakers. Holds originals: for restricted storage only.
+
+    `ids` has source_conversation_id and conversation_id, `speakers` has conversation_id, speaker and speaker_id.
+    """
     warning = audit.sparkSession.createDataFrame([("warning", "holds original personal data")], "record string, note string")
-    warning.unionByName(audit.withColumn("record", F.lit("entry")), allowMissingColumns=True).write.mode("errorifexists").json(contained(path, root))
+    out = warning
+    for name, part in (("conversation_id_map", ids), ("speaker_map", speakers), ("entry", audit)):
+        if part is not None:
+            out = out.unionByName(part.withColumn("record", F.lit(name)), allowMissingColumns=True)
+    out.write.mode("errorifexists").json(contained(path, root))
 
 
 def sheet(df: DataFrame) -> DataFrame:
@@ -64,7 +83,7 @@ def write_sheets(df: DataFrame, path: str, root: str, annotator: str = "annotato
     """One folder of sheets for each annotator."""
     own = [(F.col(c) if c in df.columns else F.lit(None).cast("string")).alias(c) for c in SHEET_COLUMNS]
     out = df.select(F.col(annotator).alias("_a"), *own)
-    out.write.mode("errorifexists").partitionBy("_a").option("header", True).option("escape", '"').csv(contained(path, root))
+    out.write.mode("errorifexists").partitionBy("_a").options(**AS_IS).csv(contained(path, root))
 
 
 def recheck(items: DataFrame, n: int, seed: str) -> tuple[DataFrame, DataFrame]:
