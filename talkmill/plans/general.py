@@ -8,6 +8,7 @@ QUERIES = {
     "p6_chosen": timestamps.p6_chosen,
     "p7_found": rejects.p7_found,
     "p7_loaded": rejects.p7_loaded,
+    "p7_files": rejects.p7_files,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -37,5 +37,6 @@ judged AS (SELECT line_id, CASE WHEN NOT fine AND NOT blank THEN 'quoting' WHEN
 
 ORACLES = {
     "p7_found": P7 + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
-    "p7_loaded": P7 + f"SELECT line_id, source_file, item_id, {_STRIP.format('conv')} AS conversation_id, try_cast(turn AS BIGINT) AS turn_index, CASE WHEN turn <> '' AND try_cast(turn AS BIGINT) IS NULL THEN turn END AS turn_index_text, msg AS user_message, nullif(act, '') AS action, reply, labeler FROM judged WHERE reason IS NULL",
+    "p7_loaded": P7 + f"SELECT line_id, source_file, item_id, {_STRIP.format('conv')} AS conversation_id, try_cast(turn AS INTEGER) AS turn_index, CASE WHEN turn <> '' AND try_cast(turn AS INTEGER) IS NULL THEN turn END AS turn_index_text, msg AS user_message, nullif(act, '') AS action, reply, labeler FROM judged WHERE reason IS NULL",
+    "p7_files": P7 + f"SELECT item_id, {_STRIP.format('conv')} AS conversation_id, try_cast(turn AS INTEGER) AS turn_index, msg AS user_message, nullif(act, '') AS action, reply, labeler FROM judged WHERE reason IS NULL",
 }

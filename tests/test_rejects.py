@@ -1,6 +1,6 @@
 import random
 
-from talkmill.operators.rejects import load_records, split_records
+from talkmill.operators.rejects import load_records, read_records, split_records
 
 
 def plain_split(text, sep):
@@ -58,3 +58,53 @@ def test_reasons(spark):
     assert fine[11].user_message == 'a "b"\tc\nd' and fine[11].turn_index == 7 and fine[11].action is None
     assert fine[13].turn_index is None and fine[13].user_message == 'a "b" c' and fine[13].action == "go"
     assert load_records(lines.limit(0), files.limit(0), acts.limit(0)).count() == 0
+
+
+def records_of(text: str, sep: str) -> list[str]:
+    """One by one: a line break ends a record unless a quoted field is open; the last one of a file is no data."""
+    if not text:
+        return []
+    text = text.removesuffix("\n")
+    out, start, k, at_field, inside = [], 0, 0, True, False
+    broken = False
+    while k < len(text):
+        ch = text[k]
+        if inside:
+            if ch == '"' and text[k + 1 : k + 2] == '"':
+                k += 1
+            elif ch == '"':
+                inside = False
+                nxt = text[k + 1 : k + 2]
+                broken = nxt not in ("", sep, "\n") and not (nxt == "\r" and text[k + 2 : k + 3] in ("", "\n"))
+        elif ch == "\n":
+            out.append(text[start:k])
+            start, broken = k + 1, False
+        elif ch == '"' and at_field and not broken:
+            inside = True
+        at_field = not inside and ch in (sep, "\n") if not (ch == '"' and inside) else False
+        k += 1
+    return [*out, text[start:]]
+
+
+def test_records_of_raw_files(spark, tmp_path):
+    """Quoted line breaks, plain and stray quotes, in files cut into splits of a few bytes, against a walk sign by sign."""
+    rnd = random.Random(12)
+    pieces = ["a", "bc", '"x"', '"p\nq"', '"p""\n\nq"', 'd"e', "", '"u,v"', '"w"z', '"\n"', '"long\nlines\nof\ntext"', "é", '""', '"x"\r']
+    want = {}
+    for f in range(12):
+        text = "".join(",".join(rnd.choice(pieces) for _ in range(rnd.randrange(1, 5))) + "\n" for _ in range(rnd.randrange(0, 60)))
+        text = text[:-1] if f % 3 == 0 else text + ('"never closed\nto the end' if f == 1 else "")
+        (tmp_path / f"f{f:02d}.csv").write_bytes(text.encode())
+        want[f"f{f:02d}.csv"] = records_of(text, ",")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("64", "1000", held):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        try:
+            got = {}
+            for r in sorted(read_records(spark, str(tmp_path)).collect(), key=lambda r: (r.source_file, r.block, r.line)):
+                got.setdefault(r.source_file, []).append(r.raw_line)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert got == {k: v for k, v in want.items() if v}
