@@ -52,11 +52,13 @@ PLACEHOLDER = re.compile(
     re.X,
 )
 _DROP = re.compile("[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f­̀-ͯ•-‧​-‏‪-‮⁠-⁤ﬀ-ﬆ︀-️﻿！-￯₠-⃏①-⓿¼-¾←-⯿\U0001d400-\U0001d7ff\U0001f000-\U0001faff]+")
-_CUT = re.compile(r"[\n\r]+|(?<=[.?!।])\s+")
+_CUT = re.compile(r"\s(?:(?<=[\n\r])[\n\r]*|(?<=[.?!।]\s)\s*)")  # runs of line breaks, and white space after the end of a sentence
+_MARKS = re.compile(r"[{<\[$@#%_]")
+#: What is masked: signs without which there is nothing to mask, the pattern, the mark.
 _MASKS = (
-    (re.compile(r"(?i)\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "⟦address⟧"),
-    (re.compile(r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december|(?:mon|tues|wednes|thurs|fri|satur|sun)day)\b"), "⟦date⟧"),
-    (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b|\d[\d.,:/-]*"), "9"),
+    (re.compile(r"@|://|[wW]\."), re.compile(r"(?i)\b(?:https?://|www\.)\S+|\b[\w.+-]+@[\w-]+(?:\.[\w-]+)+"), "⟦address⟧"),
+    (re.compile(r"(?i)uary|march|april|may|june|july|august|ember|ober|day"), re.compile(r"(?i)\b(?:january|february|march|april|may|june|july|august|september|october|november|december|(?:mon|tues|wednes|thurs|fri|satur|sun)day)\b"), "⟦date⟧"),
+    (re.compile(r"\d"), re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{8,}\b|\d[\d.,:/-]*"), "9"),
 )
 
 
@@ -70,14 +72,15 @@ def clean(text: str) -> str:
 
 def masked(message: str) -> str:
     """Lower case, with slots, numbers, addresses and dates masked and white space collapsed."""
-    m = PLACEHOLDER.sub(SLOT, message)
-    for pattern, mark in _MASKS:
-        m = pattern.sub(mark, m)
+    m = PLACEHOLDER.sub(SLOT, message) if _MARKS.search(message) else message
+    for needed, pattern, mark in _MASKS:
+        if needed.search(m):
+            m = pattern.sub(mark, m)
     return " ".join(m.lower().split())
 
 
 _SPEAKER = re.compile(r"^\s*(?:customer|agent|bot|buyer|staff|system|client|user)\s*:\s*", re.I)
-_HELD: dict[str, str] = {}  # masked forms of parts a worker has met; only ever a matter of speed
+_HELD: dict[str, tuple[str, ...]] = {}  # masked forms of parts a worker has met; only ever a matter of speed
 
 
 def messages(text: str | None) -> list[str]:
@@ -85,15 +88,15 @@ def messages(text: str | None) -> list[str]:
     if not text:
         return []
     out: dict[str, None] = {}
-    for part in _CUT.split(clean(text)):
-        m = _HELD.get(part)
-        if m is None:
-            m = masked(_SPEAKER.sub("", part))
+    for part in _CUT.split(text):  # cleaning a part may show further ends of sentences in it, and hides none
+        found = _HELD.get(part)
+        if found is None:
+            found = tuple(m for p in _CUT.split(clean(part)) if (m := masked(_SPEAKER.sub("", p))))
             if len(part) <= 400:
                 if len(_HELD) >= REMEMBER:
                     _HELD.clear()
-                _HELD[part] = m
-        if m:
+                _HELD[part] = found
+        for m in found:
             out[m] = None
     return list(out)
 
@@ -137,8 +140,13 @@ _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
 _RUNS = tuple(r for row in _ROWS for r in (row, row[::-1]))
 
 
+_NOT_LETTERS = re.compile(r"[^A-Za-z9]+")
+
+
 def bare(message: str) -> str:
     """Letters, combining signs and masked numbers only."""
+    if message.isascii():
+        return _NOT_LETTERS.sub("", message)
     return "".join(ch for ch in message if ch.isalpha() or ch == "9" or unicodedata.category(ch)[0] == "M")
 
 
@@ -237,17 +245,42 @@ def weights() -> np.ndarray:
     return w
 
 
+#: The notions without which no telling rule is met but by slot, code, raised, keys, repeats or pseudo.
+NEEDED = ("script", "fail", "act", "swap", "status", "trace", "filler")
+
+
+@lru_cache(maxsize=1)
+def _needed() -> tuple[re.Pattern, re.Pattern]:
+    of = [x for x in _notions() if x[0] in NEEDED]
+    return re.compile("|".join(x[1].pattern for x in of)), re.compile("|".join(x[2].pattern for x in of if x[2]))
+
+
+def may_tell(message: str) -> bool:
+    """False only for messages that meet no telling rule; quick, as most are such."""
+    long, short = _needed()
+    if SLOT in message or long.search(bare(message)) or short.search(message) or _RAISED.search(message) or _CODE.fullmatch(message.rstrip(".!")):
+        return True
+    words = _WORD.findall(message)
+    return any(map(on_keys, words)) or len(set(words)) <= 2 or pseudo(message, words) or all(len(set(w)) == 1 for w in words)
+
+
+def scored(message: str) -> tuple[float | None, np.ndarray | None]:
+    if not may_tell(message):
+        return None, None
+    x = features(message)
+    return (float(x @ weights()[:-1] + weights()[-1]) if x[_TELLING].any() else None), x
+
+
 def score(message: str) -> float | None:
     """Logit that a masked message is residue; None if it meets no telling rule."""
-    x = features(message)
-    return float(x @ weights()[:-1] + weights()[-1]) if x[_TELLING].any() else None
+    return scored(message)[0]
 
 
 def kind_of(message: str, docs: int, sources: int) -> str | None:
     """What a masked message is, given in how many documents and sources it stands; None for content."""
-    s = score(message)
+    s, x = scored(message)
     wide = docs >= RECUR_DOCS or sources >= RECUR_SOURCES
-    if s is None or s < (0 if wide else ONCE) or not wide and not features(message)[_SURE].any():
+    if s is None or s < (0 if wide else ONCE) or not wide and not x[_SURE].any():
         return None
     return "placeholder" if SLOT in message else "phrase"
 
