@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -34,3 +35,22 @@ def test_empty(spark):
     docs, targets = frames(spark, 4)
     assert K.mix(docs.limit(0), targets).count() == 0 and K.mix(docs, targets.limit(0)).count() == 0
     assert K.shares(K.mix(docs.limit(0), targets), targets).count() == 3
+
+
+def test_shares_are_reached(spark):
+    """Six unequal sources, a third of the texts in several of them: every share within a text for each pattern, repeats within bounds."""
+    rnd = random.Random(21)
+    share = {"a": 0.3, "b": 0.25, "c": 0.2, "d": 0.15, "e": 0.07, "f": 0.03}
+    most = {"a": 1, "b": 2, "c": 1, "d": 4, "e": 3, "f": 1}
+    rows, k = [], 0
+    for j in range(900):
+        text = " ".join(rnd.choice(["lift", "park", "price", "visit", "north", "tile"]) for _ in range(rnd.randrange(2, 30))) + f" {j}"
+        for s in {rnd.choice("aaabbcde f".replace(" ", "")) for _ in range(rnd.choice([1, 1, 2, 3]))}:
+            rows.append((k, s, text))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([(s, share[s], most[s]) for s in share], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in K.shares(K.mix(docs, targets), targets).collect()}
+    off = max(abs(got[s].share - share[s]) for s in share)
+    print(f"largest deviation from a share: {off:.4f}")
+    assert off < 0.01 and all(got[s].most_repeats <= most[s] for s in share)
