@@ -66,3 +66,29 @@ def test_field_words_are_counted(spark):
 def test_reply_lengths(spark):
     got = {r.unit: tuple(r)[1:] for r in P.reply_lengths(spark.createDataFrame([("ab cd",), ("x",), (None,)], "reply string")).collect()}
     assert got == {"chars": (2, 3.0, 3.0, 5, 5, 1), "words": (2, 1.5, 1.5, 2, 2, 1)} and "ag5_lengths" in registry.queries()
+
+
+def test_windows_over_cut_groups(spark):
+    """One group of half the rows, cut into many parts: the rows before each are those of the whole group."""
+    from pyspark.sql import Window as W
+
+    from talkmill.common import with_earlier
+
+    rnd = random.Random(6)
+    rows = [("hot" if k % 2 else rnd.choice("abc") if k % 6 else None, rnd.randrange(50), k) for k in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, id int")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        laid = with_earlier(df, "g", ["o", "id"], 3)
+        w = W.partitionBy("g", "_part").orderBy("o", "id").rowsBetween(-3, -1)
+        got = {r.id: r.x for r in laid.withColumn("x", F.collect_list("id").over(w)).filter(~F.col("_ghost")).collect()}
+        most = laid.filter("g = 'hot' and not _ghost").groupBy("_part").count().agg(F.max("count")).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == 400 and most < 60
+    for g in ("hot", "a", "b", "c"):
+        ids = [k for _, k in sorted((o, k) for x, o, k in rows if x == g)]
+        assert all(got[k] == ids[max(0, j - 3) : j] for j, k in enumerate(ids))

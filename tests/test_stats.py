@@ -154,3 +154,35 @@ def test_sampling(spark):
     assert split == {"test": 100, "dev": 50, "train": 250}
     orders = A.annotator_orders(df.withColumnRenamed("turn_id", "key"), ["a", "b"], "s")
     assert orders.groupBy("annotator").count().filter("count = 200").count() == 2
+
+
+def test_two_part_gate_and_constraint(spark):
+    row = lambda d, p: spark.createDataFrame([(float(d), float(p))], "diff_pp double, p double")
+    verdicts = lambda df: {r.condition: r.verdict for r in df.collect()}
+    assert verdicts(G.two_part_gate(row(10, 0.04), 0.8, 0.95)) == {"needed": "PASS", "headroom": "PASS", "gate": "PASS"}
+    assert verdicts(G.two_part_gate(row(9.9, 0.04), 0.8, 0.95)) == {"needed": "FAIL", "headroom": "PASS", "gate": "FAIL"}
+    assert verdicts(G.two_part_gate(row(12, 0.05), 0.9, None)) == {"needed": "FAIL", "headroom": "NOT_ESTABLISHED", "gate": "FAIL"}
+    assert verdicts(G.two_part_gate(row(12, 0.01), 0.9, 0.95)) == {"needed": "PASS", "headroom": "FAIL", "gate": "FAIL"}
+    assert verdicts(G.two_part_gate(None, None, 0.95, spark)) == {"needed": "NOT_ESTABLISHED", "headroom": "NOT_ESTABLISHED", "gate": "NOT_ESTABLISHED"}
+    check = lambda *rows: G.constraint_check(spark.createDataFrame(list(rows), "system string, failures long"), "strict", "free").first()[0]
+    assert check(("strict", 0), ("free", 3)) == "PASS" and check(("strict", 1), ("free", 3)) == "FAIL" and check(("strict", 0), ("free", 0)) == "NOT_ESTABLISHED" and check(("free", 0)) == "NOT_ESTABLISHED" and check(("strict", 0)) == "PASS"
+    seeds = spark.createDataFrame([(1, False, True), (2, False, False)], "seed int, is_primary boolean, passes boolean")
+    assert G.seed_gate(seeds).first()[0] == "NOT_ESTABLISHED" == G.seed_gate(seeds.limit(0)).first()[0]
+
+
+def test_reports_hold_no_text(spark):
+    df = spark.createDataFrame([(1, [("a", 2)], {"k": "v"})], "n int, rows array<struct<name:string,m:int>>, notes map<string,string>")
+    for allowed in ({"rows.name"}, {"notes"}, set()):
+        with pytest.raises(ValueError):
+            G.safe_output(df, allowed)
+    assert G.safe_output(df, {"rows", "notes"}) is df and G.safe_output(df.select("n"), set()).columns == ["n"]
+
+
+def test_agreement_of_pairs(spark):
+    rows = [(f"i{k}", who, "c", lab) for k in range(20) for who, lab in (("x", "VALUE" if k % 2 else "NO-OP"), ("y", "VALUE" if k % 4 else "NO-OP"), ("z", None))] + [("i1", "w", "other", "VALUE"), ("lone", "x", "c", "VALUE")]
+    p = S.annotator_pairs(spark.createDataFrame(rows, "item_id string, annotator_id string, conversation_id string, label string"))
+    got = S.kappa_by(p, ["annotator_a", "annotator_b"]).collect()
+    one = S.kappa(p).first()
+    assert [(r.annotator_a, r.annotator_b, r.n) for r in got] == [("x", "y", 20)] and abs(got[0].kappa - one.kappa) < 1e-12
+    cat = {r.label: r.kappa for r in S.category_kappas_by(p, ["annotator_a"]).collect()}
+    assert cat == {r.label: r.kappa for r in S.category_kappas(p).collect()}
